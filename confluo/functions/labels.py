@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,16 @@ def _case(pairs: Sequence[tuple[Column, Column]], default: Column) -> Column:
     return default if chain is None else chain.otherwise(default)
 
 
+def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``body`` over values that are computed once per row.
+
+    Without it the optimizer copies a long text expression into each of many tests, and the
+    generated code outgrows a method.
+    """
+    row = F.struct(*[v.alias(k) for k, v in values.items()])
+    return F.get(F.transform(F.array(row), body), F.lit(0))
+
+
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
     hit = F.lit(False)
     for needle in needles:
@@ -60,15 +70,19 @@ def keyword_array(
 
 
 def substring_map_first(text: Column, *, pairs: Sequence[tuple[str, str]] = D.ROLE_PHRASES) -> Column:
-    low = F.lower(strip(text))
-    return _case([(low.contains(k), F.lit(v)) for k, v in pairs], F.lit(None).cast("string"))
+    def first(v: Column) -> Column:
+        return _case([(v["low"].contains(k), F.lit(x)) for k, x in pairs], F.lit(None).cast("string"))
+
+    return let({"low": F.lower(strip(text))}, first)
 
 
 def priority_class(
     text: Column, *, classes: Sequence[tuple[Sequence[str], int]], default: int
 ) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return _case([(contains_any(low, names), F.lit(rank)) for names, rank in classes], F.lit(default))
+    def ranked(v: Column) -> Column:
+        return _case([(contains_any(v["low"], names), F.lit(rank)) for names, rank in classes], F.lit(default))
+
+    return let({"low": F.lower(F.coalesce(text, F.lit("")))}, ranked)
 
 
 def source_priority(source: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
-from confluo.functions.labels import _case, any_pattern, contains_any, ignore_case
+from confluo.functions.labels import _case, any_pattern, contains_any, ignore_case, let
 from confluo.functions.text import strip
 
 _NONE = "None"
@@ -73,27 +73,30 @@ def geo_gate(
     body = F.lower(F.coalesce(description, F.lit(_NONE)))
     if description_chars is not None:
         body = F.substring(body, 1, description_chars)
-    text = F.concat_ws(" ", _low(title), _low(location), body)
 
-    def hit(words: Sequence[str]) -> Column:
+    def hit(text: Column, words: Sequence[str]) -> Column:
         if whole_words:
             return any_pattern(text, [rf"(?<!\w)\Q{w}\E(?!\w)" for w in words])
         return contains_any(text, words)
 
-    return (
-        F.when(hit(reject), F.lit(False))
-        .when(hit(accept), F.lit(True))
-        .otherwise(F.coalesce(is_remote, F.lit(False)))
-    )
+    def verdict(v: Column) -> Column:
+        return (
+            F.when(hit(v["text"], reject), F.lit(False)).when(hit(v["text"], accept), F.lit(True)).otherwise(v["flag"])
+        )
+
+    text = F.concat_ws(" ", _low(title), _low(location), body)
+    return let({"text": text, "flag": F.coalesce(is_remote, F.lit(False))}, verdict)
 
 
 def curated_title_hit(title: Column, *, titles: Sequence[str] = D.TARGET_TITLES) -> Column:
     """The title contains, or is contained in, a listed title. An empty title passes."""
-    low = _low(title)
-    hit = F.lit(False)
-    for name in titles:
-        hit = hit | low.contains(name.lower()) | F.lit(name.lower()).contains(low)
-    return hit
+    def listed(v: Column) -> Column:
+        hit = F.lit(False)
+        for name in titles:
+            hit = hit | v["low"].contains(name.lower()) | F.lit(name.lower()).contains(v["low"])
+        return hit
+
+    return let({"low": _low(title)}, listed)
 
 
 def relevant(
@@ -112,13 +115,17 @@ def relevant(
     geo_chars: int | None = D.GEO_DESCRIPTION_CHARS,
 ) -> Column:
     """Conjunction of all relevance gates over one row."""
-    body = F.concat_ws(" ", _low(title), text)
     named = ~_low(company).isin(list(D.SENTINEL_COMPANIES))
     near = geo_gate(
         title, location, description, is_remote, accept=accept, reject=reject, description_chars=geo_chars
     )
-    wanted = curated_title_hit(title, titles=titles) | any_pattern(body, include)
-    return named & near & ~any_pattern(body, exclude) & wanted
+
+    def wanted(v: Column) -> Column:
+        return ~any_pattern(v["body"], exclude) & (v["curated"] | any_pattern(v["body"], include))
+
+    body = F.concat_ws(" ", _low(title), text)
+    topic = let({"body": body, "curated": curated_title_hit(title, titles=titles)}, wanted)
+    return named & near & topic
 
 
 def decide(

@@ -18,7 +18,7 @@ def _text(c: str, default: str = "") -> Column:
 def digest_rows(ranked: DataFrame, reference: DataFrame, *, n: int | None = None, order: str = "rank_position") -> DataFrame:
     """Per ranked row: rank (1-based), header, source line, score and decision line, entry."""
     rows = ranked if n is None else ranked.orderBy(order).limit(n)
-    rows = enrich_reference(rows, reference, columns=("name",), order="position_in_list")
+    rows = enrich_reference(rows, reference, columns=("name",))
     score = F.format_string("%.2f", F.col("similarity"))
     header = F.concat(
         (F.col(order) + 1).cast("string"), F.lit(". "), score_tier(F.col("similarity")),

@@ -16,7 +16,7 @@ RSS_ITEM = "link string, title string, pubDate string, `content:encoded` string,
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """Items of landed RSS files; files are split by item."""
+    """Items of landed RSS files, one feed document per file."""
     return spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
 
 
@@ -61,11 +61,12 @@ def posting_lines(
             url.alias("url"),
         )
 
+    # the plain tests come first: the patterns backtrack over long lines
     entry = (
-        F.when(line.rlike(dash), groups(dash, _bare(F.regexp_extract(line, dash, 3))))
-        .when(line.rlike(link), groups(link, strip(F.regexp_extract(line, link, 3))))
+        F.when(line.contains("—") & line.rlike(dash), groups(dash, _bare(F.regexp_extract(line, dash, 3))))
+        .when(line.contains("](") & line.rlike(link), groups(link, strip(F.regexp_extract(line, link, 3))))
         .when(
-            line.rlike(board),
+            line.contains("://") & line.rlike(board),
             F.struct(
                 F.coalesce(F.get(chunks, F.lit(0)), F.lit("")).alias("company"),
                 F.get(chunks, F.lit(1)).alias("title"),

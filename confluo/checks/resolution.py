@@ -59,29 +59,25 @@ def _review_events(spark, sf):
 
 # one posting per order line: the part is the job, its URL the part's, the supplier the source
 _LINES_SQL = (
-    "lines AS (SELECT l_orderkey * 10 + l_linenumber AS arrival, 's' || CAST(l_suppkey % 5 AS VARCHAR) AS source, "
-    "'https://parts.example/' || CAST(p_partkey AS VARCHAR) AS url, p_name AS title, p_brand AS company, p_type AS location, "
-    "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS dup FROM lineitem JOIN part ON p_partkey = l_partkey)"
+    "lines AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + (l_partkey % 100000) * 10000 + l_suppkey % 10000 AS arrival, 's' || CAST(l_suppkey % 5 AS VARCHAR) AS source, "
+    "'https://parts.example/' || CAST(p_partkey AS VARCHAR) AS url, p_name AS title, p_brand AS company, p_type AS location FROM lineitem JOIN part ON p_partkey = l_partkey)"
 )
 
 
 def _lines(spark, sf):
     part = table(spark, sf, "part")
-    lines = table(spark, sf, "lineitem").join(part, c("l_partkey") == c("p_partkey")).select(
-        (c("l_orderkey") * 10 + c("l_linenumber")).alias("arrival"),
+    order = (c("l_orderkey") * 10 + c("l_linenumber")) * 1000000000
+    return table(spark, sf, "lineitem").join(part, c("l_partkey") == c("p_partkey")).select(
+        (order + (c("l_partkey") % 100000) * 10000 + c("l_suppkey") % 10000).alias("arrival"),
         F.concat(F.lit("s"), (c("l_suppkey") % 5).cast("string")).alias("source"),
         F.lit(None).cast("string").alias("source_id"),
         F.concat(F.lit("https://parts.example/"), c("p_partkey").cast("string")).alias("url"),
         c("p_name").alias("title"), c("p_brand").alias("company"), c("p_type").alias("location"),
-        F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("o"),
     )
-    # (order, line) repeats in the table: its first row is the posting
-    cols = [x for x in lines.columns if x != "arrival"]
-    return lines.groupBy("arrival").agg(F.min_by(F.struct(*cols), "o").alias("r")).select("arrival", "r.*").drop("o")
 
 
 _EXACT_SQL = (
-    f"{_LINES_SQL}, k AS (SELECT *, {canonical_key_sql('title', 'company', 'location')} AS key, {norm_company_sql('company')} AS co FROM lines WHERE dup = 1), "
+    f"{_LINES_SQL}, k AS (SELECT *, {canonical_key_sql('title', 'company', 'location')} AS key, {norm_company_sql('company')} AS co FROM lines), "
     "b AS (SELECT *, min(arrival) OVER (PARTITION BY key) AS born FROM k), "
     "j AS (SELECT b.*, n.url AS job_url, row_number() OVER (PARTITION BY b.key, b.source ORDER BY b.arrival) AS nth FROM b JOIN k n ON n.arrival = b.born)"
 )
@@ -94,7 +90,7 @@ def _exact(spark, sf):
 @query(
     "resolve_exact_only",
     f"WITH {_EXACT_SQL} SELECT arrival, CASE WHEN arrival = born THEN 'new_job' WHEN nth = 1 THEN 'new_source' ELSE 'duplicate' END AS outcome, "
-    "CASE WHEN arrival <> born AND url <> job_url THEN 100.0 END AS fuzzy_score, false AS trust_flipped, source AS source_name, key AS canonical_key FROM j",
+    "CASE WHEN arrival <> born AND url <> job_url THEN CAST(100.0 AS DOUBLE) END AS fuzzy_score, false AS trust_flipped, source AS source_name, key AS canonical_key FROM j",
 )
 def _resolve_exact_only(spark, sf):
     return _exact(spark, sf).select("arrival", "outcome", "fuzzy_score", "trust_flipped", "source_name", "canonical_key")

@@ -25,27 +25,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
+from confluo.functions.labels import let
 from confluo.functions.similarity import LENGTH_FACTOR, TOKEN_SCALE, wratio
 from confluo.session import materialize
 
 _OPEN, _CLOSE = "\u0002", "\u0003"
 
 
-def _grams(words: Column) -> Column:
-    """Trigrams of each padded word, numbered per repeat so that a multiset becomes a set."""
+def _pieces(words: Column) -> Column:
+    """Trigrams of each padded word, sorted."""
 
     def of_word(w: Column) -> Column:
         padded = F.concat(F.lit(_OPEN), w, F.lit(_CLOSE))
         return F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.substring(padded, i, F.lit(3)))
 
-    flat = F.array_sort(F.flatten(F.transform(F.filter(words, lambda w: w != ""), of_word)))
-    return F.transform(
-        flat, lambda g, i: F.struct(g.alias("g"), (i + 1 - F.array_position(flat, g)).cast("int").alias("o"))
-    )
+    return F.array_sort(F.flatten(F.transform(words, of_word)))
 
 
-def _block_grams(block: Column) -> Column:
-    """Grams every key of the block shares because it names the block: ordered last."""
+def _block_pieces(block: Column) -> Column:
+    """Trigrams every key of the block shares because they spell the block's name."""
     padded = F.replace(F.concat(F.lit("|"), block, F.lit("|")), F.lit(" "), F.lit(f"{_CLOSE} {_OPEN}"))
     return F.flatten(
         F.transform(
@@ -58,6 +56,23 @@ def _block_grams(block: Column) -> Column:
     )
 
 
+def _grams(words: Column, block: Column) -> Column:
+    """``(last, g, o)`` per trigram: ``o`` numbers repeats, so that a multiset becomes a set;
+    ``last`` marks grams of the block's name, which go to the end of the order."""
+
+    def numbered(v: Column) -> Column:
+        return F.transform(
+            v["pieces"],
+            lambda g, i: F.struct(
+                F.array_contains(v["shared"], g).alias("last"),
+                g.alias("g"),
+                (i + 1 - F.array_position(v["pieces"], g)).cast("int").alias("o"),
+            ),
+        )
+
+    return let({"pieces": _pieces(words), "shared": _block_pieces(block)}, numbered)
+
+
 def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
     tokens = F.col("tokens")
     plain = F.struct(F.lit(0).alias("v"), tokens.alias("w"))
@@ -69,16 +84,11 @@ def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
     texts = keys.select("block", "key", F.inline(variants)).withColumn(
         "n", F.when(F.col("v") == 0, F.char_length("key")).otherwise(F.char_length(F.array_join("w", " ")))
     )
-    grams = texts.select("block", "key", "v", "n", F.inline(_grams(F.col("w"))))
+    grams = texts.select("block", "key", "v", "n", F.inline(_grams(F.col("w"), F.col("block"))))
     # gram counts over all keys: normal-form keys have at most 40**3 distinct grams, and the
     # written table tells the optimizer whether it may be broadcast
     counts = materialize(grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "gram-counts")
-    ranked = grams.join(counts, "g").select(
-        "block", "key", "v", "n",
-        F.struct(
-            F.array_contains(_block_grams(F.col("block")), F.col("g")).alias("last"), "c", "g", "o"
-        ).alias("r"),
-    )
+    ranked = grams.join(counts, "g").select("block", "key", "v", "n", F.struct("last", "c", "g", "o").alias("r"))
     missing = F.floor(F.lit(6 * delta / (1 + delta)) * F.col("n") + F.lit(1e-9))
     prefix = (
         ranked.groupBy("block", "key", "v", "n")

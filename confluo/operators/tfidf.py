@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
+from confluo.functions.labels import let
 from confluo.session import materialize
 
 QUERY_ID = "__query__"
@@ -33,12 +34,16 @@ def tokens(text: Column, *, pattern: str = D.TOKEN_PATTERN) -> Column:
 
 def ngrams(words: Column) -> Column:
     """Unigrams followed by space-joined bigrams."""
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+
+    def both(v: Column) -> Column:
+        w = v["w"]
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(
+            F.slice(w, F.lit(1), rest), F.slice(w, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)
+        )
+        return F.concat(w, pairs)
+
+    return let({"w": words}, both)
 
 
 def _with_query(docs: DataFrame, query: str, text: str) -> DataFrame:

@@ -270,7 +270,7 @@ def _src_rss_posts(spark, sf):
         F.array_join(F.collect_list(item), "\n"),
         F.lit("</channel></rss>"),
     )
-    documents = table(spark, sf, "pages").groupBy(F.floor(n / 50).alias("g")).agg(feed.alias("value"))
+    documents = table(spark, sf, "pages", heavy=True).groupBy(F.floor(n / 50).alias("g")).agg(feed.alias("value"))
     documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     posts = feeds.src_rss_posts(feeds.read_rss(spark, path))
     plain = F.regexp_replace(F.regexp_replace("html_body", '<img alt="" src="https://img.example/[^>]*>', ""), r"\s+", "")
@@ -320,7 +320,7 @@ def _via():
 )
 def _src_rss_text_postings(spark, sf):
     body = F.expr(_BODY_SQL.replace("VARCHAR", "STRING"))
-    posts = table(spark, sf, "pages").select(c("url").alias("post_url"), body.alias("html_body"))
+    posts = table(spark, sf, "pages", heavy=True).select(c("url").alias("post_url"), body.alias("html_body"))
     return feeds.src_rss_text_postings(posts).select(*_NORMAL_COLS, _via())
 
 
@@ -333,7 +333,7 @@ def _src_rss_text_postings(spark, sf):
 )
 def _src_rss_image_postings(spark, sf):
     n, k = c("page_id"), c("k")
-    pages = table(spark, sf, "pages")
+    pages = table(spark, sf, "pages", heavy=True)
     urls = F.regexp_extract_all(_images(n), F.lit('src="([^"]+)"'), F.lit(1))
     posts = pages.select(c("url").alias("post_url"), n, urls.alias("image_urls"))
     shots = posts.select(n, F.posexplode("image_urls").alias("k", "image_url"))
@@ -357,7 +357,7 @@ def _src_rss_image_postings(spark, sf):
 )
 def _src_posting_normalize(spark, sf):
     n = c("doc_id")
-    rows = table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents", heavy=True).select(
         F.concat(F.lit("https://p/"), text(n % 50)).alias("post_url"),
         F.when(n % 13 == 0, "  ").otherwise(F.concat("source", F.lit(", Inc."))).alias("company"),
         F.when(n % 5 != 0, F.get(F.split("text", "\n"), F.lit(0))).alias("title"),
@@ -412,7 +412,7 @@ def jsonld_sql(extra: str = "") -> str:
 
 @query("src_html_jsonld", jsonld_sql())
 def _src_html_jsonld(spark, sf):
-    return html_pages.src_html_jsonld(_with_block(table(spark, sf, "pages"))).select(*_PAGE_COLS)
+    return html_pages.src_html_jsonld(_with_block(table(spark, sf, "pages", heavy=True))).select(*_PAGE_COLS)
 
 
 def cards_sql(source: str) -> str:
@@ -436,7 +436,7 @@ def cards_sql(source: str) -> str:
 
 @query("src_html_link_cards", f"WITH {cards_sql('pages')} SELECT * FROM cards")
 def _src_html_link_cards(spark, sf):
-    rows = html_pages.src_html_link_cards(table(spark, sf, "pages"), pattern=_LINK, id_pattern=r"/(\d+)")
+    rows = html_pages.src_html_link_cards(table(spark, sf, "pages", heavy=True), pattern=_LINK, id_pattern=r"/(\d+)")
     return rows.select(*_PAGE_COLS)
 
 
@@ -447,7 +447,7 @@ def _src_html_link_cards(spark, sf):
     "(SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, pos) AS rn FROM a) WHERE rn = 1",
 )
 def _src_html_first_nonempty(spark, sf):
-    rows = html_pages.src_html_first_nonempty(_with_block(table(spark, sf, "pages")), pattern=_LINK, id_pattern=r"/(\d+)")
+    rows = html_pages.src_html_first_nonempty(_with_block(table(spark, sf, "pages", heavy=True)), pattern=_LINK, id_pattern=r"/(\d+)")
     return rows.select("page_id", "pos", "source_id", "url", "title", "is_remote", "job_type")
 
 
@@ -508,7 +508,7 @@ _CLEANED_SQL = (
     "(SELECT *, row_number() OVER (PARTITION BY lower(company), lower(substr(title, 1, 30)) ORDER BY arrival) AS rn FROM cmt) WHERE rn = 1",
 )
 def _src_comment_postings(spark, sf):
-    comments = table(spark, sf, "documents").select(
+    comments = table(spark, sf, "documents", heavy=True).select(
         c("doc_id").alias("arrival"), F.expr(_COMMENT_SQL.replace("VARCHAR", "STRING")).alias("comment_text")
     )
     rows = threads.src_comment_postings(comments)

@@ -29,11 +29,11 @@ _INCOMING_URL = "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN upper(url) ELSE
 def _stored_urls(spark, sf):
     n = c("page_id")
     url = F.when(n % 4 == 0, T.norm_url(c("url"))).otherwise(c("url"))
-    return table(spark, sf, "pages").filter(n % 2 == 0).select(n.alias("id"), url.alias("url"))
+    return table(spark, sf, "pages", heavy=True).filter(n % 2 == 0).select(n.alias("id"), url.alias("url"))
 
 
 def _incoming_urls(spark, sf):
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", heavy=True).select(
         "page_id", F.when(c("page_id") % 5 == 0, F.upper("url")).otherwise(c("url")).alias("url")
     )
 
@@ -118,7 +118,7 @@ def _anti_existing_title(spark, sf):
 
 @query("anti_processed", "SELECT page_id, url FROM pages WHERE page_id % 3 <> 1")
 def _anti_processed(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = table(spark, sf, "pages", heavy=True)
     done = pages.filter(c("page_id") % 3 == 1).select(c("url").alias("post_url"))
     left = joins.anti_processed(pages.select("page_id", c("url").alias("post_url")), done)
     return left.select("page_id", c("post_url").alias("url"))
@@ -244,7 +244,7 @@ def _merge_upsert_dim(spark, sf):
     f"CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '{NOW_TEXT}' ELSE {_OLD} END AS updated_at FROM pages",
 )
 def _mark_seen(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = table(spark, sf, "pages", heavy=True)
     old = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     stored = pages.select("page_id", "url", old.alias("date_last_seen"), old.alias("updated_at"))
     urls = pages.filter(c("page_id") % 3 == 0).select("url")

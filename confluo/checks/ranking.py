@@ -53,7 +53,7 @@ _COS = (
     "SELECT vec.id, term, round(w / n, 6) AS weight FROM vec JOIN unit ON vec.id = unit.id WHERE vec.id >= 0",
 )
 def _tfidf_weights(spark, sf):
-    rows = table(spark, sf, "documents").select(c("doc_id").alias("id"), "text")
+    rows = table(spark, sf, "documents", heavy=True).select(c("doc_id").alias("id"), "text")
     out = tfidf.tfidf_weights(rows, "that with this from", max_features=5000)
     return out.select("id", "term", F.round("weight", 6).alias("weight"))
 
@@ -67,7 +67,7 @@ _BENCH_QUERY = "thereat heron that and onesen erblest it hein ti inenan the of w
     "SELECT unit.id, round(coalesce(cosine, 0), 6) AS cosine FROM unit LEFT JOIN cos ON cos.id = unit.id WHERE unit.id >= 0",
 )
 def _cosine_to_query(spark, sf):
-    rows = table(spark, sf, "documents").select(c("doc_id").alias("id"), "text")
+    rows = table(spark, sf, "documents", heavy=True).select(c("doc_id").alias("id"), "text")
     return tfidf.cosine_to_query(rows, _BENCH_QUERY).select("id", F.round("cosine", 6).alias("cosine"))
 
 

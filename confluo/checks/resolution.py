@@ -67,7 +67,7 @@ _LINES_SQL = (
 def _lines(spark, sf):
     part = table(spark, sf, "part")
     order = (c("l_orderkey") * 10 + c("l_linenumber")) * 1000000000
-    return table(spark, sf, "lineitem").join(part, c("l_partkey") == c("p_partkey")).select(
+    return table(spark, sf, "lineitem", heavy=True).join(part, c("l_partkey") == c("p_partkey")).select(
         (order + (c("l_partkey") % 100000) * 10000 + c("l_suppkey") % 10000).alias("arrival"),
         F.concat(F.lit("s"), (c("l_suppkey") % 5).cast("string")).alias("source"),
         F.lit(None).cast("string").alias("source_id"),

@@ -44,7 +44,7 @@ def norm_url_sql(x: str) -> str:
 @query("norm_base", f"SELECT doc_id, md5({norm_base('text')}) AS norm_md5, CAST(length({norm_base('text')}) AS BIGINT) AS n FROM documents")
 def _norm_base(spark, sf):
     norm = T.norm_base(c("text"))
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", heavy=True).select(
         "doc_id", F.md5(norm).alias("norm_md5"), F.char_length(norm).cast("bigint").alias("n")
     )
 
@@ -80,7 +80,7 @@ def _norm_name_simple(spark, sf):
 
 @query("url_key", f"SELECT page_id, {norm_url_sql('url')} AS norm, md5({norm_url_sql('url')}) AS url_hash FROM pages")
 def _url_key(spark, sf):
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", heavy=True).select(
         "page_id", T.norm_url(c("url")).alias("norm"), T.url_key(c("url")).alias("url_hash")
     )
 
@@ -94,7 +94,7 @@ def _url_synth(spark, sf):
     n = c("page_id")
     url = F.when(n % 3 == 0, F.when(n % 2 == 0, "  ")).otherwise(c("url"))
     ident = F.when(n % 2 == 0, n.cast("string")).otherwise("")
-    return table(spark, sf, "pages").select(n, T.url_synth(url, F.lit("web"), ident, c("html")).alias("u"))
+    return table(spark, sf, "pages", heavy=True).select(n, T.url_synth(url, F.lit("web"), ident, c("html")).alias("u"))
 
 
 @query(
@@ -131,7 +131,7 @@ def _blank_to_null(spark, sf):
     text = F.when(c("doc_id") % 4 == 0, F.when(c("doc_id") % 8 == 0, " \t\n ")).otherwise(
         F.concat(F.lit("\n "), c("text"), F.lit("  "))
     )
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.blank_to_null(text)).alias("m"))
+    return table(spark, sf, "documents", heavy=True).select("doc_id", F.md5(T.blank_to_null(text)).alias("m"))
 
 
 @query(
@@ -172,7 +172,7 @@ def html_post_sql(x: str) -> str:
     f"SELECT page_id, md5({html_strip_sql('html')}) AS comment_md5, md5({html_post_sql('html')}) AS post_md5 FROM pages",
 )
 def _html_strip(spark, sf):
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", heavy=True).select(
         "page_id",
         F.md5(T.html_strip(c("html"))).alias("comment_md5"),
         F.md5(T.html_strip(c("html"), mode="post")).alias("post_md5"),
@@ -185,7 +185,7 @@ def _html_strip(spark, sf):
     "array_to_string(regexp_extract_all(html, '<a\\s+href=\"([^\"]+)\"', 1)[1:3], '|') AS first_links FROM pages",
 )
 def _html_links(spark, sf):
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", heavy=True).select(
         "page_id",
         F.array_join(T.html_links(c("html")), "|").alias("links"),
         F.array_join(T.html_links(c("html"), limit=3), "|").alias("first_links"),
@@ -202,7 +202,7 @@ _HOST = "regexp_replace(lower(regexp_extract(url, '^(?:[^:/?#]*://)?([^/?#:]*)',
 )
 def _url_domain_stem(spark, sf):
     bare = F.regexp_replace("url", "^https?://", "")
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", heavy=True).select(
         "page_id", T.url_domain_stem(c("url")).alias("stem"), T.url_domain_stem(bare).alias("bare_stem")
     )
 
@@ -223,7 +223,7 @@ def _slug_candidates(spark, sf):
 
 @query("url_numeric_id", "SELECT page_id, regexp_extract(url, '/(\\d+)', 1) AS num FROM pages")
 def _url_numeric_id(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.url_numeric_id(c("url"), pattern=r"/(\d+)").alias("num"))
+    return table(spark, sf, "pages", heavy=True).select("page_id", T.url_numeric_id(c("url"), pattern=r"/(\d+)").alias("num"))
 
 
 @query(

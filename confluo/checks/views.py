@@ -74,7 +74,7 @@ DOCS = f"docs AS ({DOCS_SQL})"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     n = F.col("doc_id")
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (n % len(ROLES) + 1).cast("int"))
     place = F.when(F.col("lang") == "en", "Remote, US").when(F.col("lang") == "de", "Hybrid office")

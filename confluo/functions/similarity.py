@@ -86,6 +86,32 @@ def wratio_text(a: str | None, b: str | None) -> float:
     return max(best, scale * _window_ratio(a, b), TOKEN_SCALE * scale * token)
 
 
+def _char_gap(a: str, b: str) -> int:
+    """Lower bound of the insertions and deletions between any two arrangements of the texts."""
+    counts: dict[str, int] = {}
+    for ch in a:
+        counts[ch] = counts.get(ch, 0) + 1
+    for ch in b:
+        counts[ch] = counts.get(ch, 0) - 1
+    return sum(map(abs, counts.values()))
+
+
+def score_at_least(a: str | None, b: str | None, floor: float) -> float:
+    """The weighted ratio where it reaches ``floor`` (above 90), else 0 after cheap tests."""
+    if not a or not b or max(len(a), len(b)) >= LENGTH_FACTOR * min(len(a), len(b)):
+        return 0.0
+    if _ratio(a, b) < floor:
+        need = floor / TOKEN_SCALE
+        slack = (1 - need / 100) * (len(a) + len(b)) + 1e-6
+        words_a, words_b = set(a.split()), set(b.split())
+        only_a, only_b = words_a - words_b, words_b - words_a
+        inside = min(sum(map(len, only_a)), sum(map(len, only_b))) <= slack
+        if need > 100 or not (inside or _char_gap("".join(only_a), "".join(only_b)) <= slack or _char_gap(a, b) <= slack):
+            return 0.0
+    score = wratio_text(a, b)
+    return score if score >= floor else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def _wratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([wratio_text(x, y) for x, y in zip(a, b)], dtype="float64")
@@ -93,3 +119,13 @@ def _wratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def wratio(a: Column, b: Column) -> Column:
     return _wratio(a, b)
+
+
+def wratio_from(a: Column, b: Column, floor: float) -> Column:
+    """Like ``wratio`` where the score reaches ``floor``, else 0."""
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([score_at_least(p, q, floor) for p, q in zip(x, y)], dtype="float64")
+
+    return scored(a, b)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from confluo import defaults as D
 from confluo.functions.labels import let
-from confluo.functions.similarity import LENGTH_FACTOR, TOKEN_SCALE, wratio
+from confluo.functions.similarity import LENGTH_FACTOR, TOKEN_SCALE, wratio_from
 from confluo.session import materialize
 
 _OPEN, _CLOSE = "\u0002", "\u0003"
@@ -73,74 +73,98 @@ def _grams(words: Column, block: Column) -> Column:
     return let({"pieces": _pieces(words), "shared": _block_pieces(block)}, numbered)
 
 
+# pairs must share this many grams of their (equally longer) prefixes
+_SHARED = 4
+
+
 def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
+    """Candidate ``(id, other)``. Texts, grams and join keys travel as 64-bit hashes: a
+    collision can only add a candidate, which the scorer then rejects."""
     tokens = F.col("tokens")
     plain = F.struct(F.lit(0).alias("v"), tokens.alias("w"))
     single = F.struct(F.lit(1).alias("v"), F.array_distinct(tokens).alias("w"))
     # a key with a repeated token is also indexed by its token set
-    variants = F.when(F.size(F.array_distinct(tokens)) < F.size(tokens), F.array(plain, single)).otherwise(
-        F.array(plain)
+    repeated = F.size(F.array_distinct(tokens)) < F.size(tokens)
+    texts = keys.select(
+        "id", "block", "key", F.inline(F.when(repeated, F.array(plain, single)).otherwise(F.array(plain)))
     )
-    texts = keys.select("block", "key", F.inline(variants)).withColumn(
-        "n", F.when(F.col("v") == 0, F.char_length("key")).otherwise(F.char_length(F.array_join("w", " ")))
+    n = F.when(F.col("v") == 0, F.char_length("key")).otherwise(F.char_length(F.array_join("w", " ")))
+    grams = materialize(
+        texts.select("id", "block", "v", n.alias("n"), F.inline(_grams(F.col("w"), F.col("block")))), "grams"
     )
-    grams = texts.select("block", "key", "v", "n", F.inline(_grams(F.col("w"), F.col("block"))))
     # gram counts over all keys: normal-form keys have at most 40**3 distinct grams, and the
     # written table tells the optimizer whether it may be broadcast
     counts = materialize(grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")), "gram-counts")
-    ranked = grams.join(counts, "g").select("block", "key", "v", "n", F.struct("last", "c", "g", "o").alias("r"))
     missing = F.floor(F.lit(6 * delta / (1 + delta)) * F.col("n") + F.lit(1e-9))
-    prefix = (
-        ranked.groupBy("block", "key", "v", "n")
-        .agg(F.array_sort(F.collect_list("r")).alias("rs"))
-        .select("block", "key", "n", F.explode(F.slice("rs", F.lit(1), (missing + 1).cast("int"))).alias("r"))
-        .select("block", "key", "n", F.col("r.g").alias("g"), F.col("r.o").alias("o"))
-    )
     # texts within the edit bound differ in length by at most this factor
     step = math.log((1 + delta) / (1 - delta)) * (1 + 1e-9)
-    bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    left = prefix.withColumn("b", bucket)
+    bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int").alias("b")
+    prefix = materialize(
+        grams.join(counts, "g")
+        .groupBy("id", "block", "v", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("last", "c", "g", "o"))).alias("rs"))
+        .select(
+            "id", "block", "v", "n", bucket, F.size("rs").alias("total"), missing.alias("missing"),
+            F.explode(F.slice("rs", F.lit(1), (missing + _SHARED).cast("int"))).alias("r"),
+        )
+        .select(
+            "id", "v", "n", "b",
+            # a short prefix cannot be asked for the full number of shared grams
+            F.least(F.lit(_SHARED), F.greatest(F.col("total") - F.col("missing"), F.lit(1))).cast("int").alias("need"),
+            F.xxhash64("block", "r.g", "r.o").alias("h"),
+        ),
+        "prefix",
+    )
+    left = prefix.select("id", "v", "n", "need", F.xxhash64("h", "b").alias("h"))
     right = prefix.select(
-        F.col("block"), F.col("key").alias("other"), F.col("n").alias("m"), "g", "o",
-        F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"),
+        F.col("id").alias("other"), F.col("v").alias("u"), F.col("n").alias("m"), F.col("need").alias("want"),
+        F.explode(
+            F.array(*[F.xxhash64("h", (F.col("b") + k).cast("int")) for k in (-1, 0, 1)])
+        ).alias("h"),
     )
     close = F.abs(F.col("n") - F.col("m")) <= F.lit(delta) * (F.col("n") + F.col("m")) + F.lit(1e-9)
-    pairs = left.join(right, ["block", "g", "o", "b"]).filter((F.col("key") < F.col("other")) & close)
-    return pairs.select("block", "key", "other")
+    pairs = left.join(right, "h").filter((F.col("id") <= F.col("other")) & close)
+    shared = pairs.groupBy("id", "other", "v", "u").agg(
+        F.count(F.lit(1)).alias("k"), F.min(F.least("need", "want")).alias("need")
+    )
+    return shared.filter(F.col("k") >= F.col("need")).select("id", "other")
 
 
 def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
+    """Candidate ``(id, other)`` whose tokens all but contain one another."""
     words = keys.select(
-        "block", "key", F.char_length("key").alias("n"), F.array_distinct("tokens").alias("ws")
+        "id", "block", F.char_length("key").alias("n"), F.array_distinct("tokens").alias("ws")
     ).withColumn("d", F.char_length(F.array_join("ws", " ")))
-    exploded = words.select("block", "key", F.explode("ws").alias("w"))
-    counts = exploded.groupBy("block", "w").agg(F.count(F.lit(1)).alias("c"))
+    exploded = words.select("id", F.explode("ws").alias("w"), "block").select(
+        "id", F.xxhash64("block", "w").alias("h")
+    )
+    counts = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     # longest remainder of a that still reaches the floor, and the tokens it can hold
     spare = F.greatest(
         F.floor((F.lit(tau) * (2 * F.col("d") - 1) - 1) / F.lit(1 + tau) + F.lit(1e-9)), F.lit(0)
     )
     allowed = F.floor((spare + 1) / 2)
     rare = (
-        exploded.join(counts, ["block", "w"])
-        .groupBy("block", "key")
-        .agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("rs"))
-        .join(words, ["block", "key"])
-        .select(
-            "block", "key", "n", "ws", "d",
-            F.explode(F.slice("rs", F.lit(1), (allowed + 1).cast("int"))).alias("r"),
-        )
-        .select("block", "key", "n", "ws", "d", F.col("r.w").alias("w"))
+        exploded.join(counts, "h")
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("rs"))
+        .join(words, "id")
+        .select("id", "n", "ws", "d", F.explode(F.slice("rs", F.lit(1), (allowed + 1).cast("int"))).alias("r"))
+        .select("id", "n", "ws", "d", F.col("r.h").alias("h"))
     )
     right = words.select(
-        "block", F.col("key").alias("other"), F.col("n").alias("m"), F.col("ws").alias("vs"),
-        F.explode("ws").alias("w"),
-    )
+        F.col("id").alias("other"), F.col("n").alias("m"), F.col("ws").alias("vs"), "block", F.explode("ws").alias("w")
+    ).select("other", "m", "vs", F.xxhash64("block", "w").alias("h"))
     rest = F.char_length(F.array_join(F.array_except("ws", "vs"), " "))
-    shared = F.col("d") - rest - F.when(rest > 0, 1).otherwise(0)
-    inside = (rest == 0) | ((rest + 1) <= F.lit(tau) * (2 * shared + 1 + rest) + F.lit(1e-9))
+
+    def inside(v: Column) -> Column:
+        shared = v["d"] - v["rest"] - F.when(v["rest"] > 0, 1).otherwise(0)
+        return (v["rest"] == 0) | ((v["rest"] + 1) <= F.lit(tau) * (2 * shared + 1 + v["rest"]) + F.lit(1e-9))
+
     near = F.greatest("n", "m") < F.lit(LENGTH_FACTOR) * F.least("n", "m")
-    pairs = rare.join(right, ["block", "w"]).filter((F.col("key") != F.col("other")) & near & inside)
-    return pairs.select("block", F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
+    pairs = rare.join(right, "h").filter((F.col("id") != F.col("other")) & near)
+    pairs = pairs.filter(let({"d": F.col("d"), "rest": rest}, inside))
+    return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
 
 
 def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT) -> DataFrame:
@@ -152,12 +176,26 @@ def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT) -> DataFrame:
     if not 90.0 < floor <= 100.0:
         raise ValueError("floor must be in (90, 100]")
     tokens = F.filter(F.split("key", r"\s+"), lambda w: w != "")
-    base = keys.filter(F.col("key") != "").select("block", "key", tokens.alias("tokens"))
+    base = materialize(
+        keys.filter(F.col("key") != "").select(
+            F.xxhash64("block", "key").alias("id"), "block", "key", tokens.alias("tokens")
+        ),
+        "keys",
+        spread_rows=True,
+    )
     candidates = _edit_candidates(base, 1 - floor / 100)
     if floor <= 100 * TOKEN_SCALE:
         candidates = candidates.unionByName(_containment_candidates(base, 1 - floor / (100 * TOKEN_SCALE)))
-    scored = candidates.distinct().withColumn("score", wratio(F.col("key"), F.col("other")))
-    return scored.filter(F.col("score") >= F.lit(floor))
+    texts = base.select("id", "block", "key")
+    paired = (
+        candidates.distinct()
+        .join(texts.select("id", F.col("block").alias("b1"), F.col("key").alias("k1")), "id")
+        .join(texts.select(F.col("id").alias("other"), F.col("block").alias("b2"), F.col("key").alias("k2")), "other")
+        .filter((F.col("b1") == F.col("b2")) & (F.col("k1") != F.col("k2")))
+        .select(F.col("b1").alias("block"), F.least("k1", "k2").alias("key"), F.greatest("k1", "k2").alias("other"))
+    )
+    scored = paired.withColumn("score", wratio_from(F.col("key"), F.col("other"), floor))
+    return scored.filter(F.col("score") >= F.lit(floor)).distinct()
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:

@@ -52,7 +52,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on a table of few files.
+
+    A table with at least one file per core is left as it is, so nothing large is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def materialize(df: DataFrame, label: str, *, spread_rows: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative plans, survives lost executors, and gives the optimizer
@@ -61,4 +70,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    return spread(back) if spread_rows else back

@@ -40,9 +40,13 @@ def ignore_case(pattern: str) -> str:
 
 
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    """True when any pattern matches: one alternation, so the text is scanned once."""
+    """True when any pattern matches: one alternation, so the text is scanned once. Word
+    boundaries that all patterns share are tested once per position."""
     if not patterns:
         return F.lit(False)
+    edge = r"\b"
+    if all(p.startswith(edge) and p.endswith(edge) and len(p) > 4 for p in patterns):
+        return text.rlike(f"(?i){edge}(?:" + "|".join(f"(?:{p[2:-2]})" for p in patterns) + f"){edge}")
     return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 

@@ -55,10 +55,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work on a table of few files.
 
-    A table with at least one file per core is left as it is, so nothing large is moved.
+    The rows are rewritten as one file per core, since a plain repartition would let filters
+    move below it, back into the few scan tasks. A table that already has a file per core is
+    left as it is, so nothing large is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    return materialize(df.repartition(cores), "spread")
 
 
 def materialize(df: DataFrame, label: str, *, spread_rows: bool = False) -> DataFrame:

@@ -202,8 +202,8 @@ def _agg_skip_reasons(spark, sf):
 _DIGEST_SQL = (
     f"{DECIDED_SQL}, {REFERENCE_SQL}, dig AS (SELECT rank_position + 1 AS rank, trim(company) AS company, lower(trim(company)) IN (SELECT name FROM reference) AS is_reference, "
     f"CAST(rank_position + 1 AS VARCHAR) || '. ' || {tier_sql('similarity')} || ' **' || trim(title) || '** @ ' || trim(company) || CASE WHEN lower(trim(company)) IN (SELECT name FROM reference) THEN ' ⭐' ELSE '' END "
-    "|| CASE WHEN is_remote THEN ' 🌐' ELSE '' END || ' (' || format('{:.2f}', similarity) || ')' AS header, '   📍 ' || source || ' · ' || url AS source_line, "
-    "'   score ' || format('{:.2f}', similarity) || ' · decision: ' || decision AS meta_line FROM decided)"
+    "|| CASE WHEN is_remote THEN ' 🌐' ELSE '' END || ' (' || CAST(round(CAST(similarity AS DECIMAL(12, 3)), 2) AS VARCHAR) || ')' AS header, '   📍 ' || source || ' · ' || url AS source_line, "
+    "'   score ' || CAST(round(CAST(similarity AS DECIMAL(12, 3)), 2) AS VARCHAR) || ' · decision: ' || decision AS meta_line FROM decided)"
 )
 
 

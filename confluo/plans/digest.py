@@ -80,7 +80,7 @@ def digest_message(ranked: DataFrame, reference: DataFrame, *, order: str = "ran
     short = F.array_join(F.slice(lines, 1, D.MESSAGE_LINES), "\n")
     cut = F.concat(F.left(short, F.lit(D.MESSAGE_LIMIT - 3)), F.lit("..."))
     message = (
-        F.when(F.col("total") == 0, "📭 No new opportunities today.")
+        F.when(F.col("total") == 0, "📭 No new roles today.")
         .when(F.char_length(full) <= D.MESSAGE_LIMIT, full)
         .when(F.char_length(short) <= D.MESSAGE_LIMIT, short)
         .otherwise(cut)

@@ -88,4 +88,4 @@ def test_digest(spark):
     message = digest.digest_message(spark.createDataFrame(long, RANKED), listed).collect()[0].message
     assert len(message) == D.MESSAGE_LIMIT and message.endswith("...")
     empty = digest.digest_message(spark.createDataFrame([], RANKED), listed).collect()[0]
-    assert empty.total == 0 and "No new opportunities" in empty.message
+    assert empty.total == 0 and "No new roles" in empty.message

@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from confluo.functions.text import WHITE_SPACE
-from confluo.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,10 +25,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *, heavy: bool = False) -> DataFrame:
-    """A shared table; ``heavy`` when costly per-row work follows."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if heavy else rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A shared table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- SQL fragments ----------------------------------------------------------------

@@ -181,7 +181,6 @@ def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT) -> DataFrame:
             F.xxhash64("block", "key").alias("id"), "block", "key", tokens.alias("tokens")
         ),
         "keys",
-        spread_rows=True,
     )
     candidates = _edit_candidates(base, 1 - floor / 100)
     if floor <= 100 * TOKEN_SCALE:

@@ -81,7 +81,6 @@ def rank_relevant(
     candidates = materialize(
         relevance_filter(jobs, profile=profile).withColumn("__text", _blob(profile)),
         "candidates",
-        spread_rows=True,
     )
     cosine = cosine_to_query(
         candidates, profile.query, key=key, text="__text", max_features=profile.max_features

@@ -33,39 +33,44 @@ def build_session(app_name: str = "confluo", master: str | None = None, **conf:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's checkpoint folder.
+    """Shared folder for cut lineage: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (unit tests) is a local folder created, and it is
-    then recorded in the session so that every caller agrees on it.
+    Only a one-process ``local[…]`` session that names none (a unit test) gets a folder of its
+    own, recorded in the session; a cluster without a shared folder is an error, since what
+    one executor writes to its own disk no other can read.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("confluo.scratch.dir", None)
     if not root:
-        root = spark.conf.get("confluo.scratch.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="confluo-")
-            spark.conf.set("confluo.scratch.dir", root)
+        shared = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = shared.get() if shared.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="confluo-")
+        spark.conf.set("confluo.scratch.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the scratch folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the scratch folder, deleted when the driver's JVM ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    files, at = file_system(spark, path)
+    files.deleteOnExit(at)
+    return path
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work on a table of few files.
+def file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-    The rows are rewritten as one file per core, since a plain repartition would let filters
-    move below it, back into the few scan tasks. A table that already has a file per core is
-    left as it is, so nothing large is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return materialize(df.repartition(cores), "spread")
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``scratch_path`` that nothing reads any more."""
+    files, at = file_system(spark, path)
+    files.delete(at, True)
 
 
-def materialize(df: DataFrame, label: str, *, spread_rows: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage of iterative plans, survives lost executors, and gives the optimizer
@@ -74,5 +79,4 @@ def materialize(df: DataFrame, label: str, *, spread_rows: bool = False) -> Data
     path = scratch_path(df.sparkSession, label)
     schema = df.schema
     df.write.mode("overwrite").parquet(path)
-    back = df.sparkSession.read.schema(schema).parquet(path)
-    return spread(back) if spread_rows else back
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -9,6 +9,7 @@ from confluo.llm.exact_dedup import exact_dedup
 from confluo.llm.language import identify_languages
 from confluo.llm.quality import quality_scores
 from confluo.llm.registry import ORACLES, QUERIES, query
+from confluo.llm.secrets import secret_scan
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -42,3 +43,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality")
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op1_secret_scan")
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))

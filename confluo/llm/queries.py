@@ -10,6 +10,7 @@ from confluo.llm.language import identify_languages
 from confluo.llm.quality import quality_scores
 from confluo.llm.registry import ORACLES, QUERIES, query
 from confluo.llm.secrets import secret_scan
+from confluo.llm.syncmers import fingerprints
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -48,3 +49,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_secret_scan")
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(documents(spark, sf_dir))
+
+
+@query("op10_syncmers")
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from confluo.llm.bpe import documents_digest, encode_documents
 from confluo.llm.common import documents
 from confluo.llm.exact_dedup import exact_dedup
 from confluo.llm.language import identify_languages
+from confluo.llm.packing import pack, pieces_digest
 from confluo.llm.quality import quality_scores
 from confluo.llm.registry import ORACLES, QUERIES, query
 from confluo.llm.secrets import secret_scan
@@ -54,3 +56,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_syncmers")
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_digest(encode_documents(documents(spark, sf_dir)))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(pack(documents(spark, sf_dir)))

@@ -9,6 +9,7 @@ from confluo.llm.common import documents
 from confluo.llm.exact_dedup import exact_dedup
 from confluo.llm.language import identify_languages
 from confluo.llm.packing import pack, pieces_digest
+from confluo.llm.pii import personal_data
 from confluo.llm.quality import quality_scores
 from confluo.llm.registry import ORACLES, QUERIES, query
 from confluo.llm.secrets import secret_scan
@@ -66,3 +67,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_digest(pack(documents(spark, sf_dir)))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))

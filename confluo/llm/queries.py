@@ -8,11 +8,13 @@ from confluo.llm.bpe import documents_digest, encode_documents
 from confluo.llm.common import documents
 from confluo.llm.exact_dedup import exact_dedup
 from confluo.llm.language import identify_languages
+from confluo.llm.near_dedup import near_dedup
 from confluo.llm.packing import pack, pieces_digest
 from confluo.llm.pii import personal_data
 from confluo.llm.quality import quality_scores
 from confluo.llm.registry import ORACLES, QUERIES, query
 from confluo.llm.secrets import secret_scan
+from confluo.llm.sharding import kd_shards
 from confluo.llm.syncmers import fingerprints
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -72,3 +74,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_pii")
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
+
+
+@query("op7_kd_shards")
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(documents(spark, sf_dir))
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir))

@@ -246,42 +246,55 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
     texts: DataFrame | None = None
-    large: DataFrame | None = None
-    for phase in range(PHASES + 1):
-        small, large = _branch(large, reps, phase)
-        large = materialize(large, "large-nodes")
-        pairs = _within(small, reps).unionByName(_looked_at(_to_pivot(large, phase), reps))
-        pairs = materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
-        if phase:
-            few, large = _outsiders(large, labels, last=phase == PHASES)
-            pairs = materialize(pairs.unionByName(_looked_at(few, reps)).dropDuplicates(["a", "b"]), "pairs")
-            texts = texts.unionByName(_texts(pairs, docs, texts))
-        else:
-            texts = _texts(pairs, docs, None)
-        # First each set with the set it looks most like, then what is still apart.
+    open_nodes: DataFrame | None = None
+
+    def confirm(pairs: DataFrame) -> None:
+        """Add the links among ``pairs`` that join components: first each set with the one it looks
+        most like, then what is still apart."""
+        nonlocal links, labels, texts
+        texts = _texts(pairs, docs, texts)
         best = pairs.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
         for some in (best, pairs.select("a", "b")):
             fresh = materialize(_confirmed(_apart(some, labels), texts, words, percent), "links")
             if fresh.limit(1).count():
                 links = links.unionByName(fresh)
                 labels = components(links)
-        # Large nodes whose sets are all in one component are settled.
-        placed = large.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
-        mixed = placed.groupBy("node").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("node")
-        large = materialize(large.join(materialize(mixed, "mixed"), "node", "left_semi").select(F.col("node").alias("path"), "rep"), "open")
-        if not large.limit(1).count():
+
+    for phase in range(PHASES + 1):
+        small, large = _branch(open_nodes, reps, phase)
+        large = materialize(large, "large-nodes")
+        pairs = _within(small, reps).unionByName(_looked_at(_to_pivot(large, phase), reps))
+        confirm(materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs"))
+        # Large nodes in one component are settled; so are those whose few outsiders are compared.
+        mixed = _mixed(large, labels)
+        if not mixed.limit(1).count():
+            break
+        few, rest = _outsiders(mixed, labels, last=phase == PHASES)
+        confirm(materialize(_looked_at(few, reps), "pairs"))
+        open_nodes = _mixed(rest, labels).withColumnRenamed("node", "path")
+        if not open_nodes.limit(1).count():
             break
     return links
 
 
+def _mixed(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of nodes whose sets are in several components."""
+    placed = large.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("node").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("node")
+    return materialize(large.join(materialize(mixed, "mixed"), "node", "left_semi").select("node", "rep"), "open-nodes")
+
+
 def _texts(pairs: DataFrame, docs: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(rep, text) of the sets in ``pairs`` that aren't ``known`` yet, written once."""
+    """(rep, text) of the sets in ``pairs`` and those ``known``; new ones are read and written once."""
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     if known is not None:
         ids = ids.join(known.select("rep"), "rep", "left_anti")
     ids = materialize(ids, "ids")
     source = docs.select(F.col("doc_id").cast("long").alias("rep"), whole_text().alias("text"))
-    return materialize(source.join(ids, "rep", "left_semi"), "texts")
+    if known is not None and not ids.limit(1).count():
+        return known
+    found = materialize(source.join(ids, "rep", "left_semi"), "texts")
+    return found if known is None else known.unionByName(found)
 
 
 def _outsiders(large: DataFrame, labels: DataFrame, *, last: bool) -> tuple[DataFrame, DataFrame]:

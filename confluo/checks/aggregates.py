@@ -119,14 +119,14 @@ _KEY_SQL = f"lower({strip(NAMED)}), regexp_replace(lower({strip('title')}), '\\s
 
 @query(
     "dedup_prefer_source",
-    f"WITH {DOCS}, k AS (SELECT id, CASE WHEN id % 3 = 0 THEN location ELSE company END AS company, substr(title, 1, 20) AS title, source, arrival FROM docs) "
+    f"WITH {DOCS}, k AS (SELECT id, CASE WHEN id % 3 = 0 THEN location ELSE company END AS company, title, source, arrival FROM docs) "
     f"SELECT id, position FROM (SELECT id, min(arrival) OVER (PARTITION BY {_KEY_SQL}) AS position, "
     f"row_number() OVER (PARTITION BY {_KEY_SQL} ORDER BY {source_priority_sql()}, arrival) AS rn FROM k) WHERE rn = 1",
 )
 def _dedup_prefer_source(spark, sf):
     rows = docs(spark, sf).select(
         "id", F.when(c("id") % 3 == 0, c("location")).otherwise(c("company")).alias("company"),
-        F.substring("title", 1, 20).alias("title"), "source", "arrival",
+        "title", "source", "arrival",
     )
     return dedup.dedup_prefer_source(rows).select("id", "position")
 
@@ -134,7 +134,7 @@ def _dedup_prefer_source(spark, sf):
 @query(
     "dedup_first",
     f"WITH {POSTINGS} SELECT 'company_title' AS rule, min(id) AS id FROM postings GROUP BY {norm_company_sql('company')}, {norm_title_sql('title')} "
-    "UNION ALL SELECT 'prefix', min(id) FROM postings GROUP BY lower(company), lower(substr(title, 1, 30)) "
+    "UNION ALL SELECT 'prefix', min(id) FROM postings GROUP BY lower(company), lower(title) "
     "UNION ALL SELECT 'name', min(id) FROM postings GROUP BY lower(title) UNION ALL SELECT 'url', min(id) FROM postings GROUP BY url",
 )
 def _dedup_first(spark, sf):

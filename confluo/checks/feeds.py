@@ -252,7 +252,7 @@ def _images(n):
 @query(
     "src_rss_posts",
     "SELECT CASE WHEN page_id % 2 = 0 THEN url ELSE url || '#x' END AS post_url, 'Post ' || CAST(page_id AS VARCHAR) AS title, 'Mon, 01 Jan 2024' AS published, "
-    "CAST(least(page_id % 13 + 1, 10) AS INTEGER) AS n_images, md5(regexp_replace(html, '\\s+', '', 'g')) AS body_md5 FROM pages WHERE page_id % 11 <> 0",
+    "CAST(page_id % 13 + 1 AS INTEGER) AS n_images, md5(regexp_replace(html, '\\s+', '', 'g')) AS body_md5 FROM pages WHERE page_id % 11 <> 0",
 )
 def _src_rss_posts(spark, sf):
     n = c("page_id")
@@ -300,7 +300,7 @@ _ENTRY_SQL = (
 def normalized_sql(rows: str, description: str, via: str) -> str:
     title = f"coalesce(nullif({strip('coalesce(title, ' + lit('') + ')')}, ''), '(untitled)')"
     company = strip("company")
-    ident = f"substr(left(sha256(post_url), 12) || ':' || {norm_company_sql(company)} || ':' || {norm_title_sql(title)}, 1, 120)"
+    ident = f"left(sha256(post_url), 12) || ':' || {norm_company_sql(company)} || ':' || {norm_title_sql(title)}"
     return (
         f"SELECT {ident} AS source_id, coalesce(nullif({strip('coalesce(url, ' + lit('') + ')')}, ''), post_url) AS url, {title} AS title, {company} AS company, location, "
         f"CASE WHEN contains(lower(coalesce(location, '')), 'remote') OR contains(lower({title}), 'remote') THEN true END AS is_remote, {description} AS description, {lit(via)} AS via FROM {rows}"
@@ -326,7 +326,7 @@ def _src_rss_text_postings(spark, sf):
 
 @query(
     "src_rss_image_postings",
-    "WITH i AS (SELECT page_id, url AS post_url, unnest(range(0, least(page_id % 13 + 1, 10))) AS k FROM pages), "
+    "WITH i AS (SELECT page_id, url AS post_url, unnest(range(0, page_id % 13 + 1)) AS k FROM pages), "
     "x AS (SELECT *, left(sha256('https://img.example/' || CAST(page_id AS VARCHAR) || '-' || CAST(k AS VARCHAR) || '.png'), 16) AS h FROM i WHERE k % 3 = 0), "
     "n AS (SELECT post_url, 'Img ' || CAST(page_id AS VARCHAR) AS company, CASE WHEN k = 0 THEN 'Remote PM' END AS title, '' AS url, 'Oslo' AS location, h FROM x) "
     + normalized_sql("n", "NULL", "image"),
@@ -351,7 +351,7 @@ def _src_rss_image_postings(spark, sf):
 @query(
     "src_posting_normalize",
     "WITH n AS (SELECT 'https://p/' || CAST(doc_id % 50 AS VARCHAR) AS post_url, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE source || ', Inc.' END AS company, "
-    "CASE WHEN doc_id % 5 <> 0 THEN string_split(text, chr(10))[1] END AS title, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE 'https://d/' || CAST(doc_id AS VARCHAR) END AS url, "
+    "CASE WHEN doc_id % 5 <> 0 THEN text END AS title, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE 'https://d/' || CAST(doc_id AS VARCHAR) END AS url, "
     "CASE WHEN doc_id % 4 = 0 THEN 'Remote ' || lang ELSE lang END AS location FROM documents), "
     f"k AS (SELECT * FROM n WHERE {strip('company')} <> '') " + normalized_sql("k", "location", "text"),
 )
@@ -360,7 +360,7 @@ def _src_posting_normalize(spark, sf):
     rows = table(spark, sf, "documents").select(
         F.concat(F.lit("https://p/"), text(n % 50)).alias("post_url"),
         F.when(n % 13 == 0, "  ").otherwise(F.concat("source", F.lit(", Inc."))).alias("company"),
-        F.when(n % 5 != 0, F.get(F.split("text", "\n"), F.lit(0))).alias("title"),
+        F.when(n % 5 != 0, c("text")).alias("title"),
         F.when(n % 3 == 0, " ").otherwise(F.concat(F.lit("https://d/"), text(n))).alias("url"),
         F.when(n % 4 == 0, F.concat(F.lit("Remote "), "lang")).otherwise(c("lang")).alias("location"),
         F.lit("text").alias("via"),
@@ -494,18 +494,18 @@ _CLEANED_SQL = (
     f"raw AS (SELECT doc_id AS arrival, {_COMMENT_SQL} AS raw FROM documents), cln AS (SELECT arrival, raw, {html_strip_sql('raw')} AS t FROM raw), "
     f"pts AS (SELECT *, list_transform(string_split({strip('string_split(t, chr(10))[1]')}, '|'), lambda x: {strip('x')}) AS parts, "
     f"regexp_extract(t, {lit(_ROLE_SQL)}, 1) AS role FROM cln), "
-    "fnd AS (SELECT *, parts[1] AS company, list_filter(string_split(t, chr(10)), lambda x: contains(lower(x), lower(role)))[1] AS holder FROM pts WHERE len(parts) >= 2 AND parts[1] <> '' AND length(parts[1]) <= 80 AND role <> ''), "
+    "fnd AS (SELECT *, parts[1] AS company, list_filter(string_split(t, chr(10)), lambda x: contains(lower(x), lower(role)))[1] AS holder FROM pts WHERE len(parts) >= 2 AND parts[1] <> '' AND role <> ''), "
     f"flg AS (SELECT *, {matches('t', _spelled(D.REMOTE_PHRASES))} AS is_remote, {matches('t', _spelled(D.THREAD_REJECT_PATTERN))} AS rej, {matches('t', _spelled(D.THREAD_ACCEPT_PATTERN))} AS acc, "
-    f"substr({strip('holder')}, 1, 120) AS snip FROM fnd), "
-    "cmt AS (SELECT arrival, company, CASE WHEN length(snip) > length(role) THEN snip ELSE role END AS title, substr(parts[2], 1, 100) AS location, is_remote, "
-    "regexp_extract(raw, '<a\\s+href=\"([^\"]+)\"', 1) AS url, md5(substr(t, 1, 500)) AS raw_md5 FROM flg WHERE NOT rej OR acc OR is_remote)"
+    f"{strip('holder')} AS snip FROM fnd), "
+    "cmt AS (SELECT arrival, company, CASE WHEN length(snip) > length(role) THEN snip ELSE role END AS title, parts[2] AS location, is_remote, "
+    "regexp_extract(raw, '<a\\s+href=\"([^\"]+)\"', 1) AS url, md5(t) AS raw_md5 FROM flg WHERE NOT rej OR acc OR is_remote)"
 )
 
 
 @query(
     "src_comment_postings",
     f"WITH {_CLEANED_SQL} SELECT arrival, company, title, location, is_remote, url, raw_md5 FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY lower(company), lower(substr(title, 1, 30)) ORDER BY arrival) AS rn FROM cmt) WHERE rn = 1",
+    "(SELECT *, row_number() OVER (PARTITION BY lower(company), lower(title) ORDER BY arrival) AS rn FROM cmt) WHERE rn = 1",
 )
 def _src_comment_postings(spark, sf):
     comments = table(spark, sf, "documents").select(
@@ -603,7 +603,7 @@ def _sink_ranked(spark, sf):
 @query(
     "sink_reference_merge",
     "WITH m AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL "
-    "SELECT min(k) FROM (SELECT left(c_name, 17) || 'x' AS n, c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) GROUP BY lower(n)) "
+    "SELECT min(k) FROM (SELECT left(c_name, 9) || CAST(c_custkey % 50 AS VARCHAR) AS n, c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) GROUP BY lower(n)) "
     "SELECT count(*) AS total, count(*) FILTER (WHERE id % 4 = 0) AS verified_count FROM m",
 )
 def _sink_reference_merge(spark, sf):

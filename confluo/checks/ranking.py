@@ -26,16 +26,17 @@ def now():
     return F.lit(NOW_TEXT).cast("timestamp_ntz")
 
 
-def vectors_sql(corpus: str, query_text: str, features: int = D.MAX_FEATURES) -> str:
+def vectors_sql(corpus: str, query_text: str, features: int | None = None) -> str:
     """CTEs ``vec(id, term, w)`` (unnormalised) and ``unit(id, n)`` over ``corpus(id, text)``;
     the query has id −1."""
+    limit = f"ORDER BY total DESC, term LIMIT {features}" if features else ""
     return (
         f"alldocs AS (SELECT id, text FROM {corpus} UNION ALL SELECT -1, {lit(query_text)}), "
         f"toks AS (SELECT id, regexp_extract_all(lower(text), {lit(D.TOKEN_PATTERN)}) AS t FROM alldocs), "
         "grams AS (SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM toks), "
         "tf AS (SELECT id, term, count(*) AS n FROM grams GROUP BY 1, 2), "
         "df AS (SELECT term, sum(n) AS total, count(*) AS d FROM tf GROUP BY 1), "
-        f"vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM alldocs)) / (1.0 + d)) + 1.0 AS idf FROM df ORDER BY total DESC, term LIMIT {features}), "
+        f"vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM alldocs)) / (1.0 + d)) + 1.0 AS idf FROM df {limit}), "
         "vec AS (SELECT tf.id, tf.term, tf.n * v.idf AS w FROM tf JOIN vocab v ON tf.term = v.term), "
         "unit AS (SELECT id, sqrt(sum(w * w)) AS n FROM vec GROUP BY 1)"
     )
@@ -49,12 +50,12 @@ _COS = (
 
 @query(
     "tfidf_weights",
-    f"WITH d AS (SELECT doc_id AS id, text FROM documents), {vectors_sql('d', 'that with this from', 5000)} "
+    f"WITH d AS (SELECT doc_id AS id, text FROM documents), {vectors_sql('d', 'that with this from')} "
     "SELECT vec.id, term, round(w / n, 6) AS weight FROM vec JOIN unit ON vec.id = unit.id WHERE vec.id >= 0",
 )
 def _tfidf_weights(spark, sf):
     rows = table(spark, sf, "documents").select(c("doc_id").alias("id"), "text")
-    out = tfidf.tfidf_weights(rows, "that with this from", max_features=5000)
+    out = tfidf.tfidf_weights(rows, "that with this from")
     return out.select("id", "term", F.round("weight", 6).alias("weight"))
 
 

@@ -288,7 +288,7 @@ def _text_blob(spark, sf):
     return docs(spark, sf).select(
         "id",
         F.md5(T.text_blob(*cols, description_chars=None)).alias("whole"),
-        F.md5(T.text_blob(*cols)).alias("cut"),
+        F.md5(T.text_blob(*cols, description_chars=1200)).alias("cut"),
     )
 
 

@@ -65,7 +65,7 @@ def geo_gate(
     *,
     accept: Sequence[str] = D.GEO_ACCEPT,
     reject: Sequence[str] = D.GEO_REJECT,
-    description_chars: int | None = D.GEO_DESCRIPTION_CHARS,
+    description_chars: int | None = None,
     whole_words: bool = False,
 ) -> Column:
     """Reject list first, then accept list, then the remote flag. The lists are substrings
@@ -112,7 +112,7 @@ def relevant(
     exclude: Sequence[str] = D.EXCLUDE_PATTERNS,
     include: Sequence[str] = D.INCLUDE_PATTERNS,
     titles: Sequence[str] = D.TARGET_TITLES,
-    geo_chars: int | None = D.GEO_DESCRIPTION_CHARS,
+    geo_chars: int | None = None,
 ) -> Column:
     """Conjunction of all relevance gates over one row."""
     named = ~_low(company).isin(list(D.SENTINEL_COMPANIES))

@@ -251,7 +251,7 @@ def text_blob(
     location: Column,
     description: Column,
     *,
-    description_chars: int | None = D.DESCRIPTION_CHARS,
+    description_chars: int | None = None,
 ) -> Column:
     """One lower-case text per row; NULL reads ``none``. ``description_chars=None`` keeps all."""
     none = F.lit("None")

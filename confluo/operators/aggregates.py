@@ -44,8 +44,8 @@ def agg_provenance_pairs(observations: DataFrame) -> DataFrame:
     return observations.groupBy("job_id", "source_name").agg(
         F.min("seen").alias("first_seen"),
         F.max("seen").alias("last_seen"),
-        F.min(F.when(F.col("source_trust") == D.TRUSTED, D.TRUSTED).otherwise(D.UNTRUSTED)).alias("source_trust"),
-    )
+        F.bool_or(F.coalesce(F.col("source_trust") == D.TRUSTED, F.lit(False))).alias("trusted"),
+    ).withColumn("source_trust", F.when(F.col("trusted"), D.TRUSTED).otherwise(D.UNTRUSTED)).drop("trusted")
 
 
 def agg_provenance(observations: DataFrame) -> DataFrame:

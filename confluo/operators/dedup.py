@@ -38,8 +38,10 @@ def key_company_title(company: str = "company", title: str = "title") -> list[Co
     return [norm_company(F.coalesce(F.col(company), empty)), norm_title(F.coalesce(F.col(title), empty))]
 
 
-def key_company_title_prefix(company: str = "company", title: str = "title", chars: int = 30) -> list[Column]:
-    return [F.lower(F.col(company)), F.lower(F.substring(F.col(title), 1, chars))]
+def key_company_title_prefix(company: str = "company", title: str = "title", chars: int | None = None) -> list[Column]:
+    """Lower-case company and title; of the title only the first ``chars`` where given."""
+    name = F.col(title) if chars is None else F.substring(F.col(title), 1, chars)
+    return [F.lower(F.col(company)), F.lower(name)]
 
 
 def key_lower_name(name: str = "name") -> list[Column]:
@@ -61,9 +63,7 @@ def terminal_keys(
     types: Sequence[str] = D.TERMINAL_TYPES,
 ) -> DataFrame:
     """Keys whose latest event is terminal (an earlier terminal event does not count)."""
-    newest = events.groupBy(key).agg(
-        F.max_by("event_type", F.struct(F.col(time), F.col(tie))).alias("event_type")
-    )
+    newest = latest_per_key(events.select(key, time, tie, "event_type"), key=key, time=time, tie=tie)
     return newest.filter(F.col("event_type").isin(list(types))).select(key)
 
 
@@ -79,10 +79,11 @@ def dedup_prefer_source(df: DataFrame, *, arrival: str = "arrival") -> DataFrame
 
     ``position`` is the first arrival of the key, whichever row wins.
     """
-    cols = [c for c in df.columns]
     company, title = prefer_key(F.col("company"), F.col("title"))
-    best = F.min_by(F.struct(*cols), F.struct(source_priority(F.col("source")), F.col(arrival)))
-    grouped = df.groupBy(company.alias("__c"), title.alias("__t")).agg(
-        best.alias("__row"), F.min(arrival).alias("position")
-    )
-    return grouped.select("__row.*", "position")
+    keyed = df.withColumns({"__c": company, "__t": title})
+    # two readings, one partitioning: the window keeps a row per key and task before the
+    # shuffle, the aggregate carries a number per key, and their join needs no exchange
+    window = Window.partitionBy("__c", "__t").orderBy(source_priority(F.col("source")), F.col(arrival))
+    best = keyed.withColumn(_RN, F.row_number().over(window)).filter(F.col(_RN) == 1).drop(_RN)
+    first = keyed.groupBy("__c", "__t").agg(F.min(arrival).alias("position"))
+    return best.join(first, ["__c", "__t"]).select(*df.columns, "position")

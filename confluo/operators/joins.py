@@ -1,7 +1,8 @@
 """Set-based lookups between incoming rows and stored rows.
 
 No join carries a broadcast hint: the session's size threshold decides, on file sizes at
-planning and on measured sizes at run time, and skewed keys are split by AQE.
+planning and on measured sizes at run time, and skewed keys are split by AQE: lookup tables
+that were aggregated by the join key get an exchange of their own for it.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from confluo import defaults as D
 from confluo.functions.labels import card_key
 from confluo.functions.text import norm_name_simple, norm_url, slug_candidates, strip, url_key
 from confluo.operators.dedup import first_by
+from confluo.session import own_exchange
 
 
 def join_url_exact(incoming: DataFrame, stored: DataFrame, *, url: str = "url") -> DataFrame:
     """``matched_id``: the stored row whose URL equals the incoming one's normal form, else
     the one whose URL equals it as written, else NULL."""
     left = incoming.withColumn("__norm", norm_url(F.col(url)))
-    keys = stored.groupBy(F.col("url").alias("__url")).agg(F.min("id").alias("__id"))
+    keys = own_exchange(stored.groupBy(F.col("url").alias("__url")).agg(F.min("id").alias("__id")))
     by_norm = keys.select(F.col("__url").alias("__norm"), F.col("__id").alias("__by_norm"))
     by_raw = keys.select(F.col("__url").alias(url), F.col("__id").alias("__by_raw"))
     joined = left.join(by_norm, "__norm", "left").join(by_raw, url, "left")
@@ -32,15 +34,14 @@ def join_url_exact(incoming: DataFrame, stored: DataFrame, *, url: str = "url")
 def join_url_hash(ranked: DataFrame, stored: DataFrame, *, url: str = "url") -> DataFrame:
     """Adds ``job_id`` by URL hash (smallest id per hash); rows without a match are dropped."""
     ids = stored.groupBy(url_key(F.col("url")).alias("__hash")).agg(F.min("id").alias("job_id"))
-    return ranked.withColumn("__hash", url_key(F.col(url))).join(ids, "__hash").drop("__hash")
+    return ranked.withColumn("__hash", url_key(F.col(url))).join(own_exchange(ids), "__hash").drop("__hash")
 
 
 def join_block_candidates(incoming: DataFrame, stored: DataFrame, *, block: str = "company_normalized") -> DataFrame:
-    """Distinct stored keys of the incoming row's block, as an array-free bridge.
+    """Size and extremes of each incoming row's block among the stored keys.
 
-    One row per (distinct incoming key, distinct stored key) would be all pairs within a
-    block; the bridge keeps one row per incoming row with the size and extremes of its
-    block, and scored candidates come from ``similar_keys``.
+    The candidates themselves would be all pairs within a block; those that can still reach
+    a floor come, scored, from ``similar_keys``.
     """
     blocks = (
         stored.filter(F.col("canonical_key").isNotNull() & F.col(block).isNotNull())
@@ -51,7 +52,7 @@ def join_block_candidates(incoming: DataFrame, stored: DataFrame, *, block: str
             F.max("id").alias("last_candidate_id"),
         )
     )
-    return incoming.join(blocks, block)
+    return incoming.join(own_exchange(blocks), block)
 
 
 def anti_terminal(jobs: DataFrame, closed: DataFrame, *, key: str = "id", closed_key: str = "job_id") -> DataFrame:
@@ -91,6 +92,7 @@ def join_json_key(
         .groupBy("__issue")
         .agg(F.min_by("job_id", "__order").alias("job_id"))
     )
+    ids = own_exchange(ids)
     return issues.join(ids, issues[issue_id] == ids["__issue"]).drop("__issue")
 
 
@@ -107,7 +109,7 @@ def enrich_reference(
     Adds the columns and ``is_reference``."""
     first = F.min_by(F.struct(*columns), F.col(order))
     listed = reference.groupBy(F.lower(strip(F.col(reference_name))).alias("__name")).agg(first.alias("__ref"))
-    joined = rows.withColumn("__name", F.lower(strip(F.col(name)))).join(listed, "__name", "left")
+    joined = rows.withColumn("__name", F.lower(strip(F.col(name)))).join(own_exchange(listed), "__name", "left")
     return joined.select(
         *rows.columns,
         *[F.col(f"__ref.{c}").alias(c) for c in columns],

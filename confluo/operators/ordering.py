@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from confluo import defaults as D
 from confluo.functions.labels import role_priority, source_priority
 
 
@@ -68,8 +69,9 @@ def rank_order(score: str = "similarity", arrival: str = "arrival") -> Sequence[
     ]
 
 
-def rank_position(ranked: DataFrame, *, order: Sequence[Column] | None = None) -> DataFrame:
-    """0-based position in the final order. Input is the k rows of a top-k, so the one
-    partition this window needs is bounded by k."""
-    window = Window.orderBy(*(order or rank_order()))
-    return ranked.withColumn("rank_position", (F.row_number().over(window) - 1).cast("bigint"))
+def rank_position(ranked: DataFrame, *, n: int = D.TOP_K_MOST, order: Sequence[Column] | None = None) -> DataFrame:
+    """0-based position of the first ``n`` rows in the final order. The limit is taken as a
+    partial top-n first, so the one partition this window needs is bounded by ``n``."""
+    by = order or rank_order()
+    window = Window.orderBy(*by)
+    return ranked.orderBy(*by).limit(n).withColumn("rank_position", (F.row_number().over(window) - 1).cast("bigint"))

@@ -23,7 +23,7 @@ from confluo.functions.labels import json_build
 from confluo.functions.text import canonical_key, norm_company, norm_url, strip, url_key, url_synth
 from confluo.operators.similar import mirrored, similar_keys
 from confluo.schemas import EVENT_SCHEMA, JOB_SCHEMA, SOURCE_SCHEMA, STORED_JOB_SCHEMA, columns
-from confluo.session import materialize
+from confluo.session import materialize, own_exchange
 
 STORED_ARRIVAL = -1
 
@@ -67,8 +67,8 @@ def _settle(nodes: DataFrame, stored: DataFrame, edges: DataFrame | None) -> Dat
         live = pending.select(*narrow, F.lit(False).alias("fixed")).unionByName(
             arrived.select(*narrow, F.lit(True).alias("fixed"))
         )
-        by_key = live.filter(F.col("canonical_key").isNotNull()).groupBy(*key_cols).agg(*marks)
-        by_url = live.groupBy("stored_url").agg(*marks)
+        by_key = own_exchange(live.filter(F.col("canonical_key").isNotNull()).groupBy(*key_cols).agg(*marks))
+        by_url = own_exchange(live.groupBy("stored_url").agg(*marks))
         joined = (
             pending.join(by_key.withColumnsRenamed({"i": "ki", "p": "kp"}), key_cols, "left")
             .join(by_url.withColumnsRenamed({"i": "ri", "p": "rp"}), "stored_url", "left")

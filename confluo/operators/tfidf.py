@@ -56,7 +56,7 @@ def fit_vocabulary(
     query: str,
     *,
     text: str = "text",
-    max_features: int = D.MAX_FEATURES,
+    max_features: int | None = None,
     pattern: str = D.TOKEN_PATTERN,
 ) -> Vocabulary:
     """Top terms of documents plus query by total frequency (ties by term), with smooth idf."""
@@ -73,9 +73,9 @@ def fit_vocabulary(
         grams.select(F.inline(counted))
         .groupBy("term")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-        .orderBy(F.col("tf").desc(), F.col("term").asc())
-        .limit(max_features)
     )
+    if max_features is not None:
+        stats = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
     n_docs = corpus.count()
     idf = F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return Vocabulary(materialize(stats.select("term", "df", idf.alias("idf")), "vocabulary"), n_docs)
@@ -107,7 +107,7 @@ def tfidf_weights(
     *,
     key: str = "id",
     text: str = "text",
-    max_features: int = D.MAX_FEATURES,
+    max_features: int | None = None,
     pattern: str = D.TOKEN_PATTERN,
 ) -> DataFrame:
     """``(key, term, weight)``, L2-normalised over the kept terms of each document."""
@@ -135,7 +135,7 @@ def cosine_to_query(
     *,
     key: str = "id",
     text: str = "text",
-    max_features: int = D.MAX_FEATURES,
+    max_features: int | None = None,
     pattern: str = D.TOKEN_PATTERN,
 ) -> DataFrame:
     """``(key, cosine)`` for documents with at least one kept term; others have similarity 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
@@ -50,16 +50,18 @@ def digest_rows(ranked: DataFrame, reference: DataFrame, *, n: int | None = None
     )
 
 
-def digest_message(ranked: DataFrame, reference: DataFrame, *, order: str = "rank_position") -> DataFrame:
-    """One row ``(total, message)``: header, top picks, reference hits, closing line; cut to
-    the message limit."""
-    rows = digest_rows(ranked, reference, order=order)
+def digest_message(ranked: DataFrame, reference: DataFrame, *, n: int = D.TOP_K_MOST, order: str = "rank_position") -> DataFrame:
+    """One row ``(total, message)`` of the first ``n`` ranked rows: header, top picks, reference
+    hits, closing line; cut to the message limit. Only rows that are shown are gathered."""
+    rows = digest_rows(ranked.orderBy(order).limit(n), reference, order=order)
+    by_hit = Window.partitionBy("is_reference").orderBy("rank")
+    rows = rows.withColumn("hit", F.when(F.col("is_reference"), F.row_number().over(by_hit)))
     gathered = rows.groupBy().agg(
         F.count(F.lit(1)).alias("total"),
         F.array_sort(
             F.collect_list(F.when(F.col("rank") <= D.FEATURED_ROWS, F.struct("rank", "lines")))
         ).alias("top"),
-        F.array_sort(F.collect_list(F.when(F.col("is_reference"), F.struct("rank", "company")))).alias("hits"),
+        F.array_sort(F.collect_list(F.when(F.col("hit") <= D.REFERENCE_HITS, F.struct("rank", "company")))).alias("hits"),
     )
     head = F.array(
         F.concat(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,8 @@ from confluo.session import materialize
 
 @dataclass(frozen=True)
 class Profile:
-    """What is looked for. All lists are parameters; ``*_chars=None`` keeps whole texts."""
+    """What is looked for. All lists are parameters. ``*_chars`` cut descriptions
+    and ``max_features`` the vocabulary only where they are given."""
 
     query: str = D.QUERY_TEXT
     titles: Sequence[str] = D.TARGET_TITLES
@@ -35,11 +36,10 @@ class Profile:
     geo_patterns: Sequence[str] = D.GEO_EXCLUSIONS
     names: Sequence[str] = D.REMOTE_FIRST_COMPANIES
     threshold: float = D.DECISION_THRESHOLD
-    description_chars: int | None = D.DESCRIPTION_CHARS
-    geo_chars: int | None = D.GEO_DESCRIPTION_CHARS
-    max_features: int = D.MAX_FEATURES
+    description_chars: int | None = None
+    geo_chars: int | None = None
+    max_features: int | None = None
     version: str = D.RANKER_VERSION
-    extra: dict = field(default_factory=dict)
 
 
 def _blob(profile: Profile) -> Column:

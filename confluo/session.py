@@ -70,6 +70,16 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def own_exchange(df: DataFrame) -> DataFrame:
+    """Give a lookup table that was aggregated by its key an exchange of its own in the join.
+
+    An aggregate leaves its rows partitioned by the key, a join on that key then reuses the
+    partitioning, and Spark splits the hot keys of the *other* side only between two exchanges.
+    The table has a row per key, so moving it once more costs little.
+    """
+    return df.hint("rebalance")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

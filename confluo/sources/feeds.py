@@ -20,7 +20,7 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "item").schema(RSS_ITEM).load(path)
 
 
-def src_rss_posts(items: DataFrame, *, max_images: int = D.IMAGES_PER_POST) -> DataFrame:
+def src_rss_posts(items: DataFrame, *, max_images: int | None = None) -> DataFrame:
     """``post_url, title, published, html_body, image_urls``; items without link are dropped."""
     empty = F.lit("")
     body = strip(F.coalesce(F.col("`content:encoded`"), F.col("description"), empty))
@@ -91,7 +91,7 @@ def src_posting_normalize(entries: DataFrame) -> DataFrame:
         entries.filter(company != ""),
         {
             "source": F.lit("substack"),
-            "source_id": F.substring(ident, 1, 120),
+            "source_id": ident,
             "url": F.coalesce(blank_to_null(F.col("url")), F.col("post_url")),
             "title": title,
             "company": company,
@@ -108,13 +108,14 @@ def src_rss_text_postings(posts: DataFrame) -> DataFrame:
     return src_posting_normalize(entries)
 
 
-def image_hashes(posts: DataFrame, *, max_images: int = D.IMAGES_PER_POST) -> DataFrame:
+def image_hashes(posts: DataFrame, *, max_images: int | None = None) -> DataFrame:
     """``post_url, image_url, image_hash``: the join key of landed image extractions."""
-    urls = posts.select("post_url", F.explode(F.slice("image_urls", 1, max_images)).alias("image_url"))
+    images = F.col("image_urls") if max_images is None else F.slice("image_urls", 1, max_images)
+    urls = posts.select("post_url", F.explode(images).alias("image_url"))
     return urls.withColumn("image_hash", F.left(F.sha2("image_url", 256), F.lit(16)))
 
 
-def src_rss_image_postings(posts: DataFrame, extractions: DataFrame, *, max_images: int = D.IMAGES_PER_POST) -> DataFrame:
+def src_rss_image_postings(posts: DataFrame, extractions: DataFrame, *, max_images: int | None = None) -> DataFrame:
     """Postings from landed extraction texts ``image_hash, extraction``; malformed JSON and
     non-lists give no rows."""
     parsed = F.from_json(

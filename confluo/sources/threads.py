@@ -62,25 +62,25 @@ def comment_rows(
     )
     company, found = F.get("__parts", F.lit(0)), F.col("__role")
     rows = rows.filter(
-        (F.size("__parts") >= 2) & (company != "") & (F.char_length(company) <= 80) & (found != "")
+        (F.size("__parts") >= 2) & (company != "") & (found != "")
     )
     holder = F.get(F.filter(F.split(clean, "\n"), lambda x: F.lower(x).contains(F.lower(found))), F.lit(0))
-    snippet = F.substring(strip(holder), 1, 120)
+    snippet = strip(holder)
     title = F.when(F.char_length(snippet) > F.char_length(found), snippet).otherwise(strip(found))
     remote = remote_flag(clean, variant="phrases")
     near = ~clean.rlike(reject) | clean.rlike(accept) | remote
     return rows.filter(near).select(
         *keep,
         company.alias("company"),
-        F.substring(title, 1, 120).alias("title"),
-        F.substring(F.get("__parts", F.lit(1)), 1, 100).alias("location"),
+        title.alias("title"),
+        F.get("__parts", F.lit(1)).alias("location"),
         remote.alias("is_remote"),
         F.coalesce(F.get(html_links(F.col("__raw")), F.lit(0)), F.lit("")).alias("url"),
         F.lit("hn_hiring").alias("source"),
-        F.substring(clean, 1, 500).alias("raw_text"),
+        clean.alias("raw_text"),
     )
 
 
 def src_comment_postings(comments: DataFrame, *, order: str = "arrival", **patterns: str) -> DataFrame:
-    """Postings of the comments, first per (company, first 30 characters of the title)."""
+    """Postings of the comments, first per (company, title)."""
     return dedup_first(comment_rows(comments, **patterns), keys=key_company_title_prefix(), order=order)

@@ -40,7 +40,9 @@ def read_before(spark: SparkSession, path: str, schema: str, batch_id: int | Non
     """Rows of all batches before ``batch_id`` (all when None); empty when nothing is there."""
     try:
         rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{schema}, batch_id bigint")
     return rows if batch_id is None else rows.filter(F.col("batch_id") < batch_id)
 

@@ -169,9 +169,9 @@ def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(_html.unescape, na_action="ignore")
 
 
-def html_unescape(text: Column, *, full: bool = False) -> Column:
-    """Resolve character references: the common ones by expression, or the whole standard
-    table through an Arrow-batched function."""
+def html_unescape(text: Column, *, full: bool = True) -> Column:
+    """Resolve character references: the whole standard table with numeric references through
+    an Arrow-batched function, or the common ones by expression."""
     if full:
         return _unescape_all(text)
     for name, char in D.HTML_ENTITIES:
@@ -179,7 +179,7 @@ def html_unescape(text: Column, *, full: bool = False) -> Column:
     return text
 
 
-def html_strip(html: Column, *, mode: str = "comment", full_entities: bool = False) -> Column:
+def html_strip(html: Column, *, mode: str = "comment", full_entities: bool = True) -> Column:
     """Markup to text. ``comment``: unescape, paragraphs become lines. ``post``: block tags
     become lines, references stay."""
     if mode == "comment":

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from confluo import defaults as D
 from confluo.functions.labels import json_build
 from confluo.functions.text import canonical_key, norm_company, norm_url, strip, url_key, url_synth
-from confluo.operators.similar import mirrored, similar_keys
+from confluo.operators.similar import fresh_keys, mirrored, similar_keys
 from confluo.schemas import EVENT_SCHEMA, JOB_SCHEMA, SOURCE_SCHEMA, STORED_JOB_SCHEMA, columns
 from confluo.session import materialize, own_exchange
 
@@ -121,11 +121,11 @@ def resolve_outcomes(
     stored = stored_jobs.select(*key_cols, F.col("url").alias("stored_url"), "id")
     pairs = None
     if fuzzy:
-        distinct = nodes.select(*key_cols).unionByName(
-            stored.filter(F.col("canonical_key").isNotNull() & F.col("company_normalized").isNotNull()).select(*key_cols)
-        )
+        named = {"company_normalized": "block", "canonical_key": "key"}
+        kept = stored.filter(F.col("canonical_key").isNotNull() & F.col("company_normalized").isNotNull())
+        # pairs of two stored keys decide nothing: they are neither searched nor scored
         found = similar_keys(
-            distinct.distinct().withColumnsRenamed({"company_normalized": "block", "canonical_key": "key"}),
+            fresh_keys(nodes.select(*key_cols).withColumnsRenamed(named), kept.select(*key_cols).withColumnsRenamed(named)),
             floor=review_at,
         )
         pairs = materialize(

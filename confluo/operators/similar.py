@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from confluo import defaults as D
 from confluo.functions.labels import let
 from confluo.functions.similarity import LENGTH_FACTOR, TOKEN_SCALE, wratio_from
-from confluo.session import materialize
+from confluo.session import materialize, own_exchange
 
 _OPEN, _CLOSE = "\u0002", "\u0003"
 
@@ -86,11 +86,11 @@ def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
     # a key with a repeated token is also indexed by its token set
     repeated = F.size(F.array_distinct(tokens)) < F.size(tokens)
     texts = keys.select(
-        "id", "block", "key", F.inline(F.when(repeated, F.array(plain, single)).otherwise(F.array(plain)))
+        "id", "block", "key", "fresh", F.inline(F.when(repeated, F.array(plain, single)).otherwise(F.array(plain)))
     )
     n = F.when(F.col("v") == 0, F.char_length("key")).otherwise(F.char_length(F.array_join("w", " ")))
     grams = materialize(
-        texts.select("id", "block", "v", n.alias("n"), F.inline(_grams(F.col("w"), F.col("block")))), "grams"
+        texts.select("id", "block", "fresh", "v", n.alias("n"), F.inline(_grams(F.col("w"), F.col("block")))), "grams"
     )
     # gram counts over all keys: normal-form keys have at most 40**3 distinct grams, and the
     # written table tells the optimizer whether it may be broadcast
@@ -101,39 +101,41 @@ def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int").alias("b")
     prefix = materialize(
         grams.join(counts, "g")
-        .groupBy("id", "block", "v", "n")
+        .groupBy("id", "block", "fresh", "v", "n")
         .agg(F.array_sort(F.collect_list(F.struct("last", "c", "g", "o"))).alias("rs"))
         .select(
-            "id", "block", "v", "n", bucket, F.size("rs").alias("total"), missing.alias("missing"),
+            "id", "block", "fresh", "v", "n", bucket, F.size("rs").alias("total"), missing.alias("missing"),
             F.explode(F.slice("rs", F.lit(1), (missing + _SHARED).cast("int"))).alias("r"),
         )
         .select(
-            "id", "v", "n", "b",
+            "id", "fresh", "v", "n", "b",
             # a short prefix cannot be asked for the full number of shared grams
             F.least(F.lit(_SHARED), F.greatest(F.col("total") - F.col("missing"), F.lit(1))).cast("int").alias("need"),
             F.xxhash64("block", "r.g", "r.o").alias("h"),
         ),
         "prefix",
     )
-    left = prefix.select("id", "v", "n", "need", F.xxhash64("h", "b").alias("h"))
+    left = prefix.filter("fresh").select("id", "v", "n", "need", F.xxhash64("h", "b").alias("h"))
     right = prefix.select(
-        F.col("id").alias("other"), F.col("v").alias("u"), F.col("n").alias("m"), F.col("need").alias("want"),
+        F.col("id").alias("other"), F.col("fresh").alias("both"), F.col("v").alias("u"), F.col("n").alias("m"), F.col("need").alias("want"),
         F.explode(
             F.array(*[F.xxhash64("h", (F.col("b") + k).cast("int")) for k in (-1, 0, 1)])
         ).alias("h"),
     )
     close = F.abs(F.col("n") - F.col("m")) <= F.lit(delta) * (F.col("n") + F.col("m")) + F.lit(1e-9)
-    pairs = left.join(right, "h").filter((F.col("id") <= F.col("other")) & close)
+    pairs = left.join(right, "h").filter(((F.col("id") < F.col("other")) | (~F.col("both") & (F.col("id") != F.col("other")))) & close)
     shared = pairs.groupBy("id", "other", "v", "u").agg(
         F.count(F.lit(1)).alias("k"), F.min(F.least("need", "want")).alias("need")
     )
-    return shared.filter(F.col("k") >= F.col("need")).select("id", "other")
+    return shared.filter(F.col("k") >= F.col("need")).select(
+        F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")
+    )
 
 
 def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
     """Candidate ``(id, other)`` whose tokens all but contain one another."""
     words = keys.select(
-        "id", "block", F.char_length("key").alias("n"), F.array_distinct("tokens").alias("ws")
+        "id", "block", "fresh", F.char_length("key").alias("n"), F.array_distinct("tokens").alias("ws")
     ).withColumn("d", F.char_length(F.array_join("ws", " ")))
     exploded = words.select("id", F.explode("ws").alias("w"), "block").select(
         "id", F.xxhash64("block", "w").alias("h")
@@ -149,12 +151,12 @@ def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("rs"))
         .join(words, "id")
-        .select("id", "n", "ws", "d", F.explode(F.slice("rs", F.lit(1), (allowed + 1).cast("int"))).alias("r"))
-        .select("id", "n", "ws", "d", F.col("r.h").alias("h"))
+        .select("id", "fresh", "n", "ws", "d", F.explode(F.slice("rs", F.lit(1), (allowed + 1).cast("int"))).alias("r"))
+        .select("id", "fresh", "n", "ws", "d", F.col("r.h").alias("h"))
     )
     right = words.select(
-        F.col("id").alias("other"), F.col("n").alias("m"), F.col("ws").alias("vs"), "block", F.explode("ws").alias("w")
-    ).select("other", "m", "vs", F.xxhash64("block", "w").alias("h"))
+        F.col("id").alias("other"), F.col("fresh").alias("both"), F.col("n").alias("m"), F.col("ws").alias("vs"), "block", F.explode("ws").alias("w")
+    ).select("other", "both", "m", "vs", F.xxhash64("block", "w").alias("h"))
     rest = F.char_length(F.array_join(F.array_except("ws", "vs"), " "))
 
     def inside(v: Column) -> Column:
@@ -162,7 +164,7 @@ def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
         return (v["rest"] == 0) | ((v["rest"] + 1) <= F.lit(tau) * (2 * shared + 1 + v["rest"]) + F.lit(1e-9))
 
     near = F.greatest("n", "m") < F.lit(LENGTH_FACTOR) * F.least("n", "m")
-    pairs = rare.join(right, "h").filter((F.col("id") != F.col("other")) & near)
+    pairs = rare.join(right, "h").filter((F.col("fresh") | F.col("both")) & (F.col("id") != F.col("other")) & near)
     pairs = pairs.filter(let({"d": F.col("d"), "rest": rest}, inside))
     return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
 
@@ -170,15 +172,17 @@ def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
 def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT) -> DataFrame:
     """All pairs ``(block, key, other, score)`` with ``key < other`` and score ≥ floor.
 
-    Input: distinct ``(block, key)``. ``floor`` must be above 90, below which the scorer's
-    window branch would have to compare texts of any length.
+    Input: distinct ``(block, key)``; with a third column ``fresh``, pairs of two keys that are
+    not fresh are left out and never compared. ``floor`` must be above 90, below which the
+    scorer's window branch would have to compare texts of any length.
     """
     if not 90.0 < floor <= 100.0:
         raise ValueError("floor must be in (90, 100]")
     tokens = F.filter(F.split("key", r"\s+"), lambda w: w != "")
+    fresh = F.col("fresh") if "fresh" in keys.columns else F.lit(True)
     base = materialize(
         keys.filter(F.col("key") != "").select(
-            F.xxhash64("block", "key").alias("id"), "block", "key", tokens.alias("tokens")
+            F.xxhash64("block", "key").alias("id"), "block", "key", fresh.alias("fresh"), tokens.alias("tokens")
         ),
         "keys",
     )
@@ -197,6 +201,13 @@ def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT) -> DataFrame:
     return scored.filter(F.col("score") >= F.lit(floor)).distinct()
 
 
+def fresh_keys(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Distinct ``(block, key, fresh)``: incoming keys, and stored ones of the same blocks."""
+    same = stored.select("block", "key").join(incoming.select("block").distinct(), "block", "left_semi")
+    both = incoming.select("block", "key", F.lit(True).alias("fresh")).unionByName(same.withColumn("fresh", F.lit(False)))
+    return both.groupBy("block", "key").agg(F.bool_or("fresh").alias("fresh"))
+
+
 def mirrored(pairs: DataFrame) -> DataFrame:
     """Both directions of each pair."""
     return pairs.unionByName(
@@ -215,8 +226,9 @@ def fuzzy_best_match(
 ) -> DataFrame:
     """Best stored row of the incoming row's block: ``match_id, match_key, score``.
 
-    Equal scores go to the smallest stored id. NULL where no candidate reaches the floor
-    (the callers treat lower scores as no match).
+    Equal scores go to the smallest stored id. Only matches at or above the floor are
+    searched for; ``below_floor`` tells a block whose candidates all score less (true, and
+    the match is NULL) from a block without candidates (false).
     """
     fresh = incoming.select(F.col(block).alias("block"), F.col(key).alias("key")).distinct()
     have = (
@@ -224,7 +236,7 @@ def fuzzy_best_match(
         .groupBy(F.col(block).alias("block"), F.col(key).alias("key"))
         .agg(F.min("id").alias("id"))
     )
-    pairs = mirrored(similar_keys(fresh.unionByName(have.select("block", "key")).distinct(), floor=floor))
+    pairs = mirrored(similar_keys(fresh_keys(fresh, have), floor=floor))
     equal = have.select("block", "key", F.col("key").alias("other"), F.lit(100.0).alias("score"))
     options = pairs.unionByName(equal).join(
         have.select("block", F.col("key").alias("other"), "id"), ["block", "other"]
@@ -232,14 +244,16 @@ def fuzzy_best_match(
     best = options.groupBy("block", "key").agg(
         F.min_by(F.struct("id", "other", "score"), F.struct(-F.col("score"), F.col("id"))).alias("m")
     )
+    blocks = have.select("block").distinct().withColumn("known", F.lit(True))
     joined = incoming.select(row, F.col(block).alias("block"), F.col(key).alias("key")).join(
-        best, ["block", "key"], "left"
-    )
+        own_exchange(best), ["block", "key"], "left"
+    ).join(own_exchange(blocks), "block", "left")
     return joined.select(
         row,
         F.col("m.id").alias("match_id"),
         F.col("m.other").alias("match_key"),
         F.col("m.score").alias("score"),
+        (F.col("m").isNull() & F.coalesce("known", F.lit(False))).alias("below_floor"),
     )
 
 

@@ -203,3 +203,13 @@ def test_hot_key_is_one_row_per_job(spark):
     outcomes = R.resolve_outcomes(spark.createDataFrame([], STORED), spark.createDataFrame([], SOURCES), rows)
     counts = {r.outcome: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
     assert counts == {"new_job": 1, "new_source": 2, "duplicate": 2997}
+
+
+def test_stored_pairs_are_left_out_and_low_matches_marked(spark):
+    keys = [("c", "senior engineer|c|x", True), ("c", "senior engineers|c|x", False), ("c", "senior engineerz|c|x", False)]
+    got = similar_keys(spark.createDataFrame(keys, "block string, key string, fresh boolean"), floor=93.0).collect()
+    assert len(got) == 2 and all("senior engineer|c|x" in (r.key, r.other) for r in got)
+    stored = spark.createDataFrame([(1, "c", "senior engineers|c|x"), (2, "d", "painter|d|y")], "id long, company_normalized string, canonical_key string")
+    rows = [(0, "c", "senior engineer|c|x"), (1, "d", "zoo keeper|d|q"), (2, "e", "zoo keeper|e|q")]
+    best = fuzzy_best_match(spark.createDataFrame(rows, "arrival long, company_normalized string, canonical_key string"), stored)
+    assert {(r.arrival, r.match_id, r.below_floor) for r in best.collect()} == {(0, 1, False), (1, None, True), (2, None, False)}

@@ -18,14 +18,15 @@ Signatures only choose what to compare; links are confirmed on the full sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from confluo.llm.common import whole_text
 from confluo.llm.components import components
@@ -33,15 +34,19 @@ from confluo.session import materialize
 
 WORDS = 5
 PERCENT = 85
-COORDINATES = 64
+COORDINATES = 64  # minwise tokens that paths are chosen from
+SKETCH = 192  # minwise tokens compared, a byte of each
 TREES, DEPTH = 12, 4
 SMALL = 16
-#: Share of equal minwise tokens below which a pair isn't compared: 4.5 standard deviations under
+#: Share of equal sketch bytes below which a pair isn't compared: 4.5 standard deviations under
 #: the share that a pair at the threshold has.
-LOOK_AT = 0.65
+LOOK_AT = 0.735
 #: Sets outside a large node's main component that are still compared with the whole node.
-FEW = 64
+FEW = 512
 PHASES = 8
+MIDDLE = 16  # coordinates that a large node's middle is made of
+CHUNK = 128  # sets of a node in one row, when outsiders are compared with it
+KEPT_BYTES = 32 << 20  # sets that a task keeps while it confirms pairs
 _CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -110,40 +115,64 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(3)
-    return rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+    return rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
     """The minwise token of each coordinate: the smallest of its hashes over the set, 32 bits."""
     mult, add = _functions()
-    best = np.full(COORDINATES, np.uint64(0xFFFFFFFF))
-    for at in range(0, len(found), 2048):
-        part = (found[None, at : at + 2048] * mult[:, None] + add[:, None]) >> np.uint64(32)
+    best = np.full(SKETCH, np.uint64(0xFFFFFFFF))
+    for at in range(0, len(found), 1024):
+        part = (found[None, at : at + 1024] * mult[:, None] + add[:, None]) >> np.uint64(32)
         best = np.minimum(best, part.min(axis=1))
     return best.astype(np.uint32)
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, digest, signature) per row; the digest is of the whole sorted set."""
+    """(doc_id, n, digest, signature, sketch) per row; the digest is of the whole sorted set."""
     kind = pa.list_(pa.int32())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            n, digest, sig = [], [], []
+            n, digest, sig, sketch = [], [], [], []
             for text in part.column(1):
                 found = shingles(text.as_py(), words)
                 n.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                sig.append(signature(found).view(np.int32) if len(found) else np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()), "signature": pa.array(sig, kind)})
+                tokens = signature(found) if len(found) else np.zeros(0, np.uint32)
+                sig.append(tokens[:COORDINATES].view(np.int32))
+                sketch.append(tokens.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column(0), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.binary()),
+                    "signature": pa.array(sig, kind), "sketch": pa.array(sketch, pa.binary()),
+                }
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, digest binary, signature array<int>")
+    return rows.mapInArrow(run, "doc_id long, n long, digest binary, signature array<int>, sketch binary")
 
 
-def _alike(a: str, b: str) -> Column:
-    """Share of equal minwise tokens."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / COORDINATES
+@F.pandas_udf(DoubleType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of equal sketch bytes."""
+    one, two = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), SKETCH) for x in (a, b))
+    return pd.Series((one == two).mean(axis=1))
+
+
+def _near_pairs(ids: np.ndarray, sketches: np.ndarray, others: np.ndarray, theirs: np.ndarray) -> list[dict]:
+    """Pairs of two lists of sets that look alike enough, smaller id first."""
+    share = np.stack([(s == theirs).mean(axis=1) for s in sketches]) if len(ids) and len(others) else np.zeros((len(ids), len(others)))
+    i, j = np.nonzero((share >= LOOK_AT) & (ids[:, None] != others[None, :]))
+    return [{"a": int(min(ids[x], others[y])), "b": int(max(ids[x], others[y])), "alike": float(share[x, y])} for x, y in zip(i, j, strict=True)]
+
+
+def _unpack(held: list) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.array([x["rep"] for x in held], np.int64)
+    return ids, np.frombuffer(b"".join(x["sketch"] for x in held), np.uint8).reshape(len(ids), SKETCH)
+
+
+_PAIRS = "array<struct<a:long,b:long,alike:double>>"
 
 
 def _branch(rows: DataFrame, reps: DataFrame, phase: int) -> tuple[DataFrame, DataFrame]:
@@ -177,20 +206,12 @@ def _branch(rows: DataFrame, reps: DataFrame, phase: int) -> tuple[DataFrame, Da
 
 def _within(small: DataFrame, reps: DataFrame) -> DataFrame:
     """All pairs (a, b, alike) of a small node's sets that look alike enough."""
-    body = reps.select("rep", F.col("signature"))
-    held = small.join(body, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "signature")).alias("held"))  # at most SMALL each
+    held = small.join(reps.select("rep", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("held"))  # at most SMALL each
 
-    @F.pandas_udf("array<struct<a:long,b:long,alike:double>>")
+    @F.pandas_udf(_PAIRS)
     def compare(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            out = []
-            for nodes in part:
-                ids = np.array([x["rep"] for x in nodes])
-                sig = np.stack([x["signature"] for x in nodes])
-                share = (sig[:, None, :] == sig[None, :, :]).mean(axis=2)
-                i, j = np.nonzero((share >= LOOK_AT) & (ids[:, None] < ids[None, :]))
-                out.append([{"a": int(ids[x]), "b": int(ids[y]), "alike": float(share[x, y])} for x, y in zip(i, j, strict=True)])
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([_near_pairs(*_unpack(node), *_unpack(node)) for node in part], dtype=object)
 
     pairs = held.select(F.explode(compare("held")).alias("p")).select("p.a", "p.b", "p.alike")
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
@@ -199,34 +220,62 @@ def _within(small: DataFrame, reps: DataFrame) -> DataFrame:
 def _looked_at(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) with their share of equal tokens, those that look alike enough, a < b."""
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    one = reps.select(F.col("rep").alias("a"), F.col("signature").alias("s_a"))
-    two = reps.select(F.col("rep").alias("b"), F.col("signature").alias("s_b"))
+    one = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("s_a"))
+    two = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("s_b"))
     return ordered.join(one, "a").join(two, "b").withColumn("alike", _alike("s_a", "s_b")).where(F.col("alike") >= LOOK_AT).select("a", "b", "alike")
 
 
-def _to_pivot(large: DataFrame, phase: int) -> DataFrame:
-    """Pairs of each large node's pivot and its other sets."""
-    pivot = large.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", F.lit(phase)).alias("h"), "rep")).alias("p"))
-    pivot = materialize(pivot.select("node", F.col("p.rep").alias("a")), "pivots")
+def _to_pivot(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of each large node's pivot and its other sets.
+
+    The pivot is the set nearest to the node's middle: the one that agrees most with the most
+    frequent token of each coordinate. In a group of edited copies that is the text they were
+    made from, which is nearer to all of them than they are to each other.
+    """
+    near = reps.select("rep", F.slice("signature", 1, MIDDLE).alias("tokens"))
+    rows = materialize(large.join(near, "rep"), "large-tokens")
+    # The sketch of frequent tokens is of fixed size, however many sets and tokens a node has.
+    middle = rows.groupBy("node").agg(F.array(*[F.expr(f"approx_top_k(tokens[{i}], 1, 64)[0].item") for i in range(MIDDLE)]).alias("middle"))
+    middle = materialize(middle, "middles")
+    agree = F.size(F.filter(F.zip_with("tokens", "middle", lambda x, y: x == y), lambda e: e))
+    pivot = rows.join(middle, "node").groupBy("node").agg(F.max(F.struct(agree.alias("agree"), (-F.col("rep")).alias("back"))).alias("p"))
+    pivot = materialize(pivot.select("node", (-F.col("p.back")).alias("a")), "pivots")
     return large.join(pivot, "node").select("a", F.col("rep").alias("b"))
 
 
+def _kept_sets(words: int) -> Callable[[str], np.ndarray]:
+    """Shingle sets of texts, keeping the latest up to ``KEPT_BYTES``."""
+    kept: dict[str, np.ndarray] = {}
+    size = 0
+
+    def of(text: str) -> np.ndarray:
+        nonlocal size
+        found = kept.get(text)
+        if found is None:
+            found = shingles(text, words)
+            size += found.nbytes + 4 * len(text)
+            if size > KEPT_BYTES:
+                kept.clear()
+                size = found.nbytes + 4 * len(text)
+            kept[text] = found
+        return found
+
+    return of
+
+
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return bool(both) and 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     @F.pandas_udf("boolean")
     def similar(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+        of = _kept_sets(words)
         for left, right in parts:
-            out = []
-            for a, b in zip(left, right, strict=True):
-                if a != last[0]:
-                    last = (a, shingles(a, words))
-                other = shingles(b, words)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                union = len(last[1]) + len(other) - both
-                out.append(bool(both) and 100 * both >= percent * union)
-            yield pd.Series(out, dtype=bool)
+            yield pd.Series([_similar(of(a), of(b), percent) for a, b in zip(left, right, strict=True)], dtype=bool)
 
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("t_a"))
     two = texts.select(F.col("rep").alias("b"), F.col("text").alias("t_b"))
@@ -248,29 +297,43 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     texts: DataFrame | None = None
     open_nodes: DataFrame | None = None
 
+    seen = spark.createDataFrame([], "a long, b long")
+
     def confirm(pairs: DataFrame) -> None:
         """Add the links among ``pairs`` that join components: first each set with the one it looks
-        most like, then what is still apart."""
-        nonlocal links, labels, texts
-        texts = _texts(pairs, docs, texts)
+        most like, then what is still apart. No pair is confirmed twice."""
+        nonlocal links, labels, texts, seen
+        pairs = materialize(_apart(pairs.join(seen, ["a", "b"], "left_anti"), labels), "new-pairs")
+        if not pairs.limit(1).count():
+            return
+        texts = _texts(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), docs, texts)
         best = pairs.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
         for some in (best, pairs.select("a", "b")):
             fresh = materialize(_confirmed(_apart(some, labels), texts, words, percent), "links")
             if fresh.limit(1).count():
                 links = links.unionByName(fresh)
                 labels = components(links)
+        seen = seen.unionByName(pairs.select("a", "b"))
 
     for phase in range(PHASES + 1):
         small, large = _branch(open_nodes, reps, phase)
         large = materialize(large, "large-nodes")
-        pairs = _within(small, reps).unionByName(_looked_at(_to_pivot(large, phase), reps))
+        pairs = _within(small, reps).unionByName(_looked_at(_to_pivot(large, reps), reps))
         confirm(materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs"))
         # Large nodes in one component are settled; so are those whose few outsiders are compared.
         mixed = _mixed(large, labels)
         if not mixed.limit(1).count():
             break
-        few, rest = _outsiders(mixed, labels, last=phase == PHASES)
-        confirm(materialize(_looked_at(few, reps), "pairs"))
+
+        def texts_of(ids: DataFrame) -> DataFrame:
+            nonlocal texts
+            texts = _texts(ids, docs, texts)
+            return texts
+
+        fresh, rest = _outsiders(mixed, reps, labels, texts_of, words, percent, last=phase == PHASES)
+        if fresh.limit(1).count():
+            links = links.unionByName(fresh)
+            labels = components(links)
         open_nodes = _mixed(rest, labels).withColumnRenamed("node", "path")
         if not open_nodes.limit(1).count():
             break
@@ -284,9 +347,9 @@ def _mixed(large: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(large.join(materialize(mixed, "mixed"), "node", "left_semi").select("node", "rep"), "open-nodes")
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, known: DataFrame | None) -> DataFrame:
-    """(rep, text) of the sets in ``pairs`` and those ``known``; new ones are read and written once."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+def _texts(ids: DataFrame, docs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(rep, text) of the sets in ``ids`` and those ``known``; new ones are read and written once."""
+    ids = ids.distinct()
     if known is not None:
         ids = ids.join(known.select("rep"), "rep", "left_anti")
     ids = materialize(ids, "ids")
@@ -297,18 +360,52 @@ def _texts(pairs: DataFrame, docs: DataFrame, known: DataFrame | None) -> DataFr
     return found if known is None else known.unionByName(found)
 
 
-def _outsiders(large: DataFrame, labels: DataFrame, *, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rest): sets outside a node's main component with the node's other sets, where they
-    are few (or this is the last phase); and the nodes that have to branch on."""
+def _outsiders(
+    large: DataFrame, reps: DataFrame, labels: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int, *, last: bool
+) -> tuple[DataFrame, DataFrame]:
+    """(links, rest): confirmed links of sets outside a node's main component to the node's other
+    sets, where they are few (or this is the last phase); and the nodes that have to branch on.
+
+    Outsiders and sets meet as chunks of a node, ``CHUNK`` sets a row, and are confirmed there:
+    what is made are links, one for each outsider, chunk and component at most, not pairs.
+    """
     placed = large.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     placed = materialize(placed.select("node", "rep", "c"), "placed")
     per = placed.groupBy("node", "c").agg(F.count("*").alias("n"))
     main = per.groupBy("node").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("size"))
-    main = materialize(main.select("node", F.col("m.c").alias("main"), (F.col("size") - F.col("m.n")).alias("outside")), "main")
+    main = materialize(main.select("node", F.col("m.c").alias("main"), "size", (F.col("size") - F.col("m.n")).alias("outside")), "main")
     now = main if last else main.where(F.col("outside") <= FEW)
-    outside = materialize(placed.join(now, "node").where("c != main").select("node", F.col("rep").alias("a"), F.col("c").alias("c_a")), "outside")
-    pairs = placed.join(outside, "node").where("c != c_a").select("a", F.col("rep").alias("b"))
-    return pairs, large.join(now.select("node"), "node", "left_anti")
+    rows = placed.join(now, "node")
+    rows = rows.join(reps.select("rep", "sketch"), "rep").join(texts_of(rows.select("rep")).groupBy("rep").agg(F.max("text").alias("text")), "rep")
+
+    def chunks(some: DataFrame, total: str, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / CHUNK))
+        held = F.collect_list(F.struct("rep", "c", "sketch", "text")).alias(name)
+        return materialize(some.groupBy("node", part.alias("part")).agg(held).drop("part"), name)
+
+    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _kept_sets(words)
+        for part in parts:
+            a, b = [], []
+            for few, all_ in zip(part.column("few"), part.column("all"), strict=True):
+                few, all_ = few.as_py(), all_.as_py()
+                theirs = np.frombuffer(b"".join(x["sketch"] for x in all_), np.uint8).reshape(len(all_), SKETCH)
+                for x in few:
+                    share = (np.frombuffer(x["sketch"], np.uint8) == theirs).mean(axis=1)
+                    met = {x["c"]}
+                    for j in np.argsort(-share, kind="stable"):
+                        if share[j] < LOOK_AT:
+                            break
+                        y = all_[j]
+                        if y["c"] not in met and _similar(of(x["text"]), of(y["text"]), percent):
+                            met.add(y["c"])
+                            a.append(min(x["rep"], y["rep"]))
+                            b.append(max(x["rep"], y["rep"]))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = chunks(rows.where("c != main"), "outside", "few").join(chunks(rows, "size", "all"), "node").select("few", "all")
+    links = materialize(met.mapInArrow(compare, "a long, b long").distinct(), "links")
+    return links, large.join(now.select("node"), "node", "left_anti")
 
 
 def near_dedup(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -323,7 +420,7 @@ def near_dedup(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -
     rows = materialize(sets(docs, words), "sets")
     known = rows.where("n > 0 and doc_id is not null")
     # One set each, whoever has it; its document is the one with the smallest id.
-    groups = known.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.first("signature").alias("signature"))
+    groups = known.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
     reps = materialize(groups, "reps")
     links = _links(reps, docs, words, percent)
     copies = known.join(reps.where("rep != other").select("digest", "n", "rep"), ["digest", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b")

@@ -2,9 +2,10 @@
 
 Texts are split into words where they lie. A *block* is the run of documents one task reads, up to
 ``BLOCK_CHARS``: it lists each of its distinct words once, with a place number, and each document
-as place numbers. The (word, block, place) rows meet by word: a grouped aggregate makes the
-distinct-word table, each word is encoded once, and a join brings its ids to all its places. They
-go back to their blocks by position, where documents are put together again.
+as place numbers. The (word, slot) rows, a slot being block and place, meet by word: sorted runs of
+one word make the distinct-word table, each word is encoded once, and its ids are joined back to
+its slots by position. They return to their blocks, where documents are put together again.
+Decoding joins ids with the vocabulary's pieces, a table of fixed size that every task has.
 
 What moves between tasks is distinct words per block and packed place numbers, not texts or
 occurrences: a word that is a third of a corpus is one row per block.
@@ -13,9 +14,9 @@ occurrences: a word that is a third of a corpus is one row per block.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -26,61 +27,70 @@ from confluo.llm.common import whole_text
 from confluo.llm.tokens import encoder, vocabulary_path
 from confluo.session import materialize
 
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 14_000_000
 _SHIFT = 1 << 25  # places of a block; a block has fewer words than code points
+_RUN = 100_000  # slots of one word in a row at most
 
 
 def _packed(places: np.ndarray) -> bytes:
     """Place numbers byte plane by byte plane, compressed."""
     planes = np.ascontiguousarray(places.astype("<u4")).view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(planes[:3]).tobytes() + planes[3].tobytes() * bool(planes[3].any()), 3)
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data, max_output_size=4 * n), np.uint8).reshape(4, n)
+    raw = np.frombuffer(zstandard.decompress(data, max_output_size=4 * n), np.uint8)
+    planes = np.zeros((4, n), np.uint8)
+    planes.reshape(-1)[: len(raw)] = raw
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def _blocks(path: str, want: str, block_chars: int):
     """The task body that gives the words of its blocks, or their documents.
 
-    Both are computed by reading the same rows in the same order, so places agree.
+    Both are computed by reading the same rows in the same order, so places agree. Places are
+    in order of frequency in the block, so most take one byte.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = encoder(path).words
         block = TaskContext.get().partitionId() << 12
-        place: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        docs: list[tuple[int | None, np.ndarray]] = []
         held = 0
 
-        def words() -> Iterator[pa.RecordBatch]:
-            # In word order: neighbours share their beginnings, which compresses well.
-            found = sorted(place.items())
-            for i in range(0, len(found), 50_000):
-                some = found[i : i + 50_000]
-                yield pa.RecordBatch.from_pydict(
-                    {"word": pa.array([w for w, _ in some]), "slot": pa.array([block * _SHIFT + p for _, p in some], pa.int64())}
-                )
+        def close() -> Iterator[pa.RecordBatch]:
+            counts = np.bincount(np.concatenate([np.zeros(0, np.uint32), *[x for _, x in docs]]), minlength=len(seen))
+            place = np.empty(len(seen), np.int64)
+            place[np.argsort(-counts, kind="stable")] = np.arange(len(seen))
+            if want == "documents":
+                for i in range(0, len(docs), 500):
+                    some = docs[i : i + 500]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "block": pa.array([block] * len(some), pa.int64()), "doc_id": pa.array([d for d, _ in some], pa.int64()), "n": pa.array([len(x) for _, x in some], pa.int32()),
+                            "places": pa.array([_packed(place[x]) if len(x) else b"" for _, x in some], pa.binary()),
+                        }
+                    )
+            else:  # in word order: neighbours share their beginnings, which compresses well
+                words = sorted(seen)
+                for i in range(0, len(words), 50_000):
+                    some = words[i : i + 50_000]
+                    slots = block * _SHIFT + place[[seen[w] for w in some]]
+                    yield pa.RecordBatch.from_pydict({"word": pa.array(some), "slot": pa.array(slots, pa.int64())})
 
         for part in parts:
-            out: list[tuple] = []
             for name, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 text = text.as_py()
                 if held and held + len(text) > block_chars:
-                    if want == "words":
-                        yield from words()
-                    block, place, held = block + 1, {}, 0
+                    yield from close()
+                    block, held = block + 1, 0
+                    seen.clear()
+                    docs.clear()
                 held += len(text)
-                numbers = [place.setdefault(w, len(place)) for w in split(text)]
-                if want == "documents":
-                    out.append((block, name, len(numbers), _packed(np.array(numbers, np.uint32)) if numbers else b""))
-            if out:
-                b, d, n, p = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict(
-                    {"block": pa.array(b, pa.int64()), "doc_id": pa.array(d, pa.int64()), "n": pa.array(n, pa.int32()), "places": pa.array(p, pa.binary())}
-                )
-        if want == "words":
-            yield from words()
+                number = seen.setdefault
+                docs.append((name, np.array([number(w, len(seen)) for w in split(text)], np.uint32)))
+        yield from close()
 
     return run
 
@@ -97,30 +107,65 @@ def _stable(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def pieces(spark, path: str) -> DataFrame:
-    """(id, piece) of the vocabulary: as many rows as it has tokens."""
+@lru_cache(maxsize=2)
+def pieces(path: str) -> np.ndarray:
+    """Piece by id, in UTF-8: as many entries as the vocabulary has tokens."""
     known = encoder(path).tokenizer.get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pd.DataFrame({"id": list(known.values()), "piece": list(known)}), "id int, piece string")
+    out = np.full(max(known.values()) + 1, b"", object)
+    for piece, i in known.items():
+        out[i] = piece.encode()
+    return out
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, decoded) of rows partitioned by word: each distinct word is encoded once.
+    """The distinct-word table (word, ids, slots) of (word, slot) rows: each word is encoded once.
 
-    ``decoded`` comes from joining the ids with the vocabulary's pieces (a broadcast of fixed size).
+    ``ids`` are little-endian 32 bit. Rows of a word lie in one partition, sorted; a word with
+    very many slots takes several rows, so no task holds them all.
     """
 
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        last, ids = None, b""
         for part in parts:
-            yield pd.Series([own.ids(w) for w in part], dtype=object)
-
-    table = words.groupBy("word").agg(F.min("slot").alias("first_slot")).select("word", encode("word").alias("ids"))
-    each = table.select("word", F.posexplode("ids").alias("at", "id"))
-    joined = each.join(F.broadcast(pieces(words.sparkSession, path)), "id")
-    return joined.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("tokens")).select(
-        "word", F.transform("tokens", lambda t: t["id"]).alias("ids"), F.array_join(F.transform("tokens", lambda t: t["piece"]), " ").alias("decoded")
-    )
+            words = part.column(0).to_pylist()
+            slots = part.column(1).to_numpy()
+            starts = [i for i, w in enumerate(words) if i % _RUN == 0 or w != words[i - 1]]
+            encoded = []
+            for i in starts:
+                if words[i] != last:
+                    last, ids = words[i], np.array(own.ids(words[i]), "<u4").tobytes()
+                encoded.append(ids)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "word": pa.array([words[i] for i in starts], pa.string()), "ids": pa.array(encoded, pa.binary()),
+                    "slots": pa.ListArray.from_arrays(pa.array([*starts, len(words)], pa.int32()), pa.array(slots, pa.int64())),
+                }
+            )
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "word string, ids binary, slots array<long>")
+
+
+def _by_block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turn rows of the table around: per batch, a row for each block with the places and ids of
+    the batch's words in it. Never more rows than (word, slot) pairs, and far fewer if blocks are."""
+    for part in parts:
+        ids, lists = part.column("ids").to_pylist(), part.column("slots")
+        slots = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        block = slots // _SHIFT
+        order = np.argsort(block, kind="stable")
+        found, starts = np.unique(block[order], return_index=True)
+        out: dict[str, list] = {k: [] for k in ("block", "n", "places", "counts", "total", "ids")}
+        for b, start, end in zip(found, starts, [*starts[1:], len(order)], strict=True):
+            some = order[start:end]
+            mine = [ids[i] for i in owner[some]]
+            flat = np.frombuffer(b"".join(mine), "<u4")
+            values = (int(b), len(some), _packed(slots[some] % _SHIFT), _packed(np.array([len(x) // 4 for x in mine])), len(flat), _packed(flat))
+            for k, v in zip(out, values, strict=True):
+                out[k].append(v)
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
 
 def encode_documents(docs: DataFrame, *, path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -132,23 +177,22 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, block_chars: i
     """
     path = path or vocabulary_path()
     rows = _stable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    words = rows.mapInArrow(_blocks(path, "words", block_chars), "word string, slot long").repartition("word")
-    table = word_table(words, path)
-    filled = words.join(table, "word").select(
-        F.floor(F.col("slot") / _SHIFT).alias("block"), (F.col("slot") % _SHIFT).cast("int").alias("at"), "ids", "decoded"
-    )
+    words = rows.mapInArrow(_blocks(path, "words", block_chars), "word string, slot long")
+    filled = word_table(words, path).select("ids", "slots").mapInArrow(_by_block, "block long, n int, places binary, counts binary, total int, ids binary")
     documents = rows.mapInArrow(_blocks(path, "documents", block_chars), "block long, doc_id long, n int, places binary")
 
     def put_together(held: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known.column("at").to_numpy(), kind="stable")
-        lists = known.column("ids").combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-        if isinstance(lists, pa.ChunkedArray):
-            lists = lists.chunk(0)
-        flat, ends = lists.flatten().to_numpy().astype("<u4"), np.diff(lists.offsets.to_numpy()).cumsum() if len(lists) else np.zeros(0, int)
-        starts = np.concatenate([[0], ends[:-1]]) if len(lists) else ends
-        ids = [flat[starts[i] : ends[i]].tobytes() for i in order]
-        decoded = known.column("decoded").to_pylist()
-        decoded = [decoded[i].encode() for i in order]
+        table = pieces(path)
+        ids: list[bytes] = [b""] * sum(known.column("n").to_pylist())
+        for r in known.to_batches():
+            columns = [r.column(c).to_pylist() for c in ("n", "places", "counts", "total", "ids")]
+            for n, places, counts, total, body in zip(*columns, strict=True):
+                flat, ends = _unpacked(body, total).astype("<u4").tobytes(), np.cumsum(_unpacked(counts, n)).tolist()
+                start = 0
+                for at, end in zip(_unpacked(places, n).tolist(), ends, strict=True):
+                    ids[at] = flat[4 * start : 4 * end]
+                    start = end
+        decoded = [b" ".join(table[np.frombuffer(x, "<u4")]) for x in ids]
         out = []
         for name, n, data in zip(held.column("doc_id").to_pylist(), held.column("n").to_pylist(), held.column("places"), strict=True):
             at = _unpacked(data.as_py(), n).tolist() if n else []

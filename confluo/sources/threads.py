@@ -81,6 +81,9 @@ def comment_rows(
     )
 
 
-def src_comment_postings(comments: DataFrame, *, order: str = "arrival", **patterns: str) -> DataFrame:
-    """Postings of the comments, first per (company, title)."""
-    return dedup_first(comment_rows(comments, **patterns), keys=key_company_title_prefix(), order=order)
+def src_comment_postings(
+    comments: DataFrame, *, order: str = "arrival", title_chars: int | None = None, **patterns: str
+) -> DataFrame:
+    """Postings of the comments, first per (company, title), or per its first
+    ``title_chars`` characters where given."""
+    return dedup_first(comment_rows(comments, **patterns), keys=key_company_title_prefix(chars=title_chars), order=order)

@@ -112,7 +112,8 @@ def test_comments_and_threads(spark):
         "no pipes, Sales Engineer", "Beta | Berlin | Sales Engineer", "Gamma | SF | nurse", "",
     ]
     comments = spark.createDataFrame(list(enumerate(texts)), "arrival bigint, comment_text string")
-    rows = threads.src_comment_postings(comments).collect()
+    assert len(threads.src_comment_postings(comments).collect()) == 2  # whole titles differ
+    rows = threads.src_comment_postings(comments, title_chars=30).collect()
     assert [(r.company, r.title, r.is_remote, r.url) for r in rows] == [
         ("Acme Corp", "We're hiring a Founding GTM Engineer now", True, "https://acme.com/jobs/gtm")
     ]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from confluo.llm.common import whole_text
+from confluo.llm.common import arrow_batches, whole_text
 from confluo.llm.components import components
 from confluo.session import materialize
 
@@ -46,7 +46,7 @@ FEW = 512
 PHASES = 8
 MIDDLE = 16  # coordinates that a large node's middle is made of
 CHUNK = 128  # sets of a node in one row, when outsiders are compared with it
-KEPT_BYTES = 32 << 20  # sets that a task keeps while it confirms pairs
+KEPT_BYTES = 16 << 20  # sets that a task keeps while it confirms pairs
 _CHUNK = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -309,7 +309,8 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
         texts = _texts(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), docs, texts)
         best = pairs.groupBy("b").agg(F.max(F.struct("alike", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
         for some in (best, pairs.select("a", "b")):
-            fresh = materialize(_confirmed(_apart(some, labels), texts, words, percent), "links")
+            with arrow_batches(spark, 400):
+                fresh = materialize(_confirmed(_apart(some, labels), texts, words, percent), "links")
             if fresh.limit(1).count():
                 links = links.unionByName(fresh)
                 labels = components(links)
@@ -319,7 +320,9 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
         small, large = _branch(open_nodes, reps, phase)
         large = materialize(large, "large-nodes")
         pairs = _within(small, reps).unionByName(_looked_at(_to_pivot(large, reps), reps))
-        confirm(materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs"))
+        with arrow_batches(spark, 2000):
+            pairs = materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
+        confirm(pairs)
         # Large nodes in one component are settled; so are those whose few outsiders are compared.
         mixed = _mixed(large, labels)
         if not mixed.limit(1).count():
@@ -404,7 +407,8 @@ def _outsiders(
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     met = chunks(rows.where("c != main"), "outside", "few").join(chunks(rows, "size", "all"), "node").select("few", "all")
-    links = materialize(met.mapInArrow(compare, "a long, b long").distinct(), "links")
+    with arrow_batches(large.sparkSession, 4):
+        links = materialize(met.mapInArrow(compare, "a long, b long").distinct(), "links")
     return links, large.join(now.select("node"), "node", "left_anti")
 
 
@@ -417,7 +421,8 @@ def near_dedup(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -
 
     Returns doc_id, n_shingles, component_id, kept.
     """
-    rows = materialize(sets(docs, words), "sets")
+    with arrow_batches(docs.sparkSession, 1000):
+        rows = materialize(sets(docs, words), "sets")
     known = rows.where("n > 0 and doc_id is not null")
     # One set each, whoever has it; its document is the one with the smallest id.
     groups = known.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))

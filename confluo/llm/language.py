@@ -5,7 +5,7 @@ occurs in that text. Parsing a document greedily into longest matches gives its
 language that needs the fewest phrases, each priced at log2 of the labelled length, wins.
 
 The automaton is turned into a table next[state, character class], with a mark where a phrase
-ends, so a batch of texts is parsed in lock step by numpy: one table look-up per character and
+begins, so a batch of texts is parsed in lock step by numpy: one table look-up per character and
 language. A text longer than ``LANE`` is parsed as several lanes, all of it.
 """
 
@@ -77,10 +77,11 @@ def classes(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
-    """next[state * width + class]: the following state times width; marked where a phrase ends.
+    """next[state * width + class]: the following state times width; marked where a phrase begins.
 
-    Online construction: at most two states per symbol. A missing transition ends the phrase
-    and starts the next one at the root with the same class.
+    Online construction: at most two states per symbol. A missing transition begins a phrase
+    with its class. At the root, where a text begins and which a class without any match leads
+    to, every class does.
     """
     trans: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -113,7 +114,7 @@ def suffix_automaton(codes: np.ndarray, width: int) -> np.ndarray:
         root[c] = s * width
     table = np.tile(root | _MARK, (len(trans), 1))
     for s, follow in enumerate(trans):
-        for c, to in follow.items():
+        for c, to in follow.items() if s else ():
             table[s, c] = to * width
     return table.reshape(-1)
 
@@ -143,12 +144,12 @@ class Parser:
         active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes longer than the step
         owner = np.array([i for _, i, _ in lanes])
         for j, automaton in enumerate(self.automata):
-            state, ends = np.zeros(len(lanes), np.int32), np.ones(len(lanes), np.int32)
+            state, begun = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
             for step, k in enumerate(active):
                 to = automaton[state[:k] + grid[step, :k]]
-                ends[:k] += to >> 30
+                begun[:k] += to >> 30
                 np.bitwise_and(to, _MARK - 1, out=state[:k])
-            total[:, j] = np.bincount(owner, weights=ends, minlength=len(texts))
+            total[:, j] = np.bincount(owner, weights=begun, minlength=len(texts))
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

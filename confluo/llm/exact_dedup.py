@@ -11,7 +11,7 @@ share costs one row per partition and round, never one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.llm.common import numbered, whole_text, without_blanks
@@ -93,9 +93,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The stay-list is joined by id. If an id repeats in ``docs``, the text must be the
-    winning one too, and of identical rows one is returned.
+    The stay-list is joined by id. Where an id repeats in ``docs``, the text must be the
+    winning one too, and of rows that agree in both, one of the longest is returned.
     """
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_text")).distinct()
+    marked = exact_dedup(docs)
+    stay = marked.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_text")).distinct()
     mark = F.sha2(without_blanks(whole_text()), 256)
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]) & (mark == stay["stay_text"]), "left_semi")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]) & (mark == stay["stay_text"]), "left_semi")
+    if not marked.groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        return kept
+    once = Window.partitionBy("doc_id", mark).orderBy(F.length(whole_text()).desc(), whole_text())
+    return kept.withColumn("__place_in_id", F.row_number().over(once)).where("__place_in_id = 1").drop("__place_in_id")

@@ -118,6 +118,24 @@ def test_near_dedup_of_one_large_family_branches_on(spark, monkeypatch):
     assert got == sorted(plain_components(table.collect()))
 
 
+def test_trees_of_a_large_family_branch_on_independently(spark):
+    """Pairs alike by 0.85 in a family that 12 trees left in one node each: nearly all meet again.
+    The same coordinates in every tree would bring together 1 - (1 - 0.85^4)^2 = 0.77 of them."""
+    draw = random.Random(7)
+    n, base = 200, [draw.randrange(1 << 30) for _ in range(N.COORDINATES)]
+    edit = lambda tokens, share: [draw.randrange(1 << 30) if draw.random() < share else t for t in tokens]
+    first = [edit(base, 0.02) for _ in range(n)]
+    signatures = first + [edit(tokens, 0.15) for tokens in first]
+    reps = spark.createDataFrame(list(enumerate(signatures)), "rep long, signature array<int>").repartition(4)
+    paths = spark.createDataFrame([(p * 7919,) for p in range(N.TREES)], "path long")
+    small, large = N._branch(paths.crossJoin(reps.select("rep")), reps, 1)
+    nodes = defaultdict(set)
+    for r in small.union(large).collect():
+        nodes[r.node].add(r.rep)
+    met = {i for node in nodes.values() for i in node if i < n and i + n in node}
+    assert len(met) >= 0.98 * n
+
+
 def test_near_dedup_of_repeated_ids_and_empty_tables(spark):
     data = [(1, PROSE), (1, "other words here for the same id and more of them"), (2, "other words here for the same id and more of them"), (3, PROSE), (4, None), (5, ""), (None, PROSE)]
     table = spark.createDataFrame(data, "doc_id long, text string")

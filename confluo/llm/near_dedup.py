@@ -2,14 +2,14 @@
 
 A document's set has a signature of minwise tokens. A tree branches all sets by one of these
 tokens after the other: sets that chose the same path share a node. Nodes of at most ``SMALL``
-sets are compared exhaustively; larger ones branch on. ``TREES`` independent trees are walked;
-a pair at the threshold follows the same path of d steps in one tree with probability 0.85^d,
+sets are compared exhaustively; larger ones branch on. Independent trees are walked, 12 at the
+threshold 0.85 (``trees``); a pair at the threshold follows the same path of d steps in one tree with probability 0.85^d,
 so 12 trees miss it with probability below 1e-6 at depth 2 and about 1e-4 at depth 4.
 
 Equal sets are one set from the start. Large nodes whose sets are similar to each other would
 never become small: there every set is compared with the node's pivot, and a node is settled once
 its sets are in one component. Where a few sets stay outside, these are compared with the whole
-node; where many do, the node branches on along ``WAYS`` paths each time, drawn for each node by a hash
+node; where many do, the node branches on along several paths each time (``ways``, 5 at 0.85), drawn for each node by a hash
 of its path, so that what one node separates another of the same pair keeps. A pair at the
 threshold whose nodes all stay large through all 8 phases is missed with probability about 0.002
 (simulated). So a group of copies costs its size, not its square, and nothing
@@ -21,6 +21,7 @@ Signatures only choose what to compare; links are confirmed on the full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,12 +40,8 @@ WORDS = 5
 PERCENT = 85
 COORDINATES = 64  # minwise tokens that paths are chosen from
 SKETCH = 192  # minwise tokens compared, a byte of each
-TREES, DEPTH = 12, 4
-WAYS = 5  # paths that a large node branches on along
+DEPTH = 4
 SMALL = 16
-#: Share of equal sketch bytes below which a pair isn't compared: 4.5 standard deviations under
-#: the share that a pair at the threshold has.
-LOOK_AT = 0.735
 #: Sets outside a large node's main component that are still compared with the whole node.
 FEW = 512
 PHASES = 8
@@ -53,6 +50,25 @@ CHUNK = 128  # sets of a node in one row, when outsiders are compared with it
 KEPT_BYTES = 16 << 20  # sets that a task keeps while it confirms pairs
 _CHUNK = 1 << 20
 
+
+def look_at(percent: int) -> float:
+    """Share of equal sketch bytes below which a pair isn't compared: 4.5 standard deviations
+    under the share that a pair at the threshold has."""
+    share = percent / 100 + (1 - percent / 100) / 256
+    return share - 4.5 * (share * (1 - share) / SKETCH) ** 0.5
+
+
+def trees(percent: int) -> int:
+    """Trees of which a pair at the threshold shares no node of ``DEPTH`` with probability 1e-4 or so."""
+    together = min(0.9999, (percent / 100) ** DEPTH)
+    return max(1, math.ceil(math.log(1.5e-4) / math.log(1 - together)))
+
+
+def ways(percent: int) -> int:
+    """Paths that a large node branches on along: a pair at the threshold stays together in 2.5 of them on average."""
+    return math.ceil(2.5 / (percent / 100) ** DEPTH)
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,10 +180,10 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((one == two).mean(axis=1))
 
 
-def _near_pairs(ids: np.ndarray, sketches: np.ndarray, others: np.ndarray, theirs: np.ndarray) -> list[dict]:
+def _near_pairs(ids: np.ndarray, sketches: np.ndarray, others: np.ndarray, theirs: np.ndarray, least: float) -> list[dict]:
     """Pairs of two lists of sets that look alike enough, smaller id first."""
     share = np.stack([(s == theirs).mean(axis=1) for s in sketches]) if len(ids) and len(others) else np.zeros((len(ids), len(others)))
-    i, j = np.nonzero((share >= LOOK_AT) & (ids[:, None] != others[None, :]))
+    i, j = np.nonzero((share >= least) & (ids[:, None] != others[None, :]))
     return [{"a": int(min(ids[x], others[y])), "b": int(max(ids[x], others[y])), "alike": float(share[x, y])} for x, y in zip(i, j, strict=True)]
 
 
@@ -179,19 +195,19 @@ def _unpack(held: list) -> tuple[np.ndarray, np.ndarray]:
 _PAIRS = "array<struct<a:long,b:long,alike:double>>"
 
 
-def _branch(rows: DataFrame, reps: DataFrame, phase: int) -> tuple[DataFrame, DataFrame]:
+def _branch(rows: DataFrame, reps: DataFrame, phase: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Walk ``DEPTH`` levels down from ``rows`` (path, rep): (small, large) nodes as (node, rep).
 
     At each level nodes of one set end, those of at most ``SMALL`` are small, the others branch
     by the next chosen coordinate. In the first phase the paths are the trees' roots; later each
     node has coordinates of its own, different ones for all its ways and levels.
     """
-    ways = TREES if phase == 0 else WAYS
+    n_ways = ways(percent) if phase else trees(percent)
     rows = rows.join(reps.select("rep", "signature"), "rep") if phase else reps.select("rep", "signature", F.lit(0).cast("long").alias("path"))
-    rows = rows.withColumn("way", F.explode(F.array(*[F.lit(w) for w in range(ways)])))
+    rows = rows.withColumn("way", F.explode(F.array(*[F.lit(w) for w in range(n_ways)])))
     if phase == 0:
         rng = np.random.default_rng(100)
-        chosen = np.array([rng.permutation(COORDINATES) for _ in range(-(-ways * DEPTH // COORDINATES))]).reshape(-1)[: ways * DEPTH].reshape(ways, DEPTH)
+        chosen = np.array([rng.permutation(COORDINATES) for _ in range(-(-n_ways * DEPTH // COORDINATES))]).reshape(-1)[: n_ways * DEPTH].reshape(n_ways, DEPTH)
         coordinates = F.array(*[F.array(*[F.lit(int(c)) for c in way]) for way in chosen])
         coordinate = lambda d: F.get(F.get(coordinates, F.col("way")), F.lit(d))
     else:
@@ -216,25 +232,26 @@ def _branch(rows: DataFrame, reps: DataFrame, phase: int) -> tuple[DataFrame, Da
     return out.distinct(), large.distinct()
 
 
-def _within(small: DataFrame, reps: DataFrame) -> DataFrame:
+def _within(small: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b, alike) of a small node's sets that look alike enough."""
     held = small.join(reps.select("rep", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "sketch")).alias("held"))  # at most SMALL each
+    least = look_at(percent)
 
     @F.pandas_udf(_PAIRS)
     def compare(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([_near_pairs(*_unpack(node), *_unpack(node)) for node in part], dtype=object)
+            yield pd.Series([_near_pairs(*_unpack(node), *_unpack(node), least) for node in part], dtype=object)
 
     pairs = held.select(F.explode(compare("held")).alias("p")).select("p.a", "p.b", "p.alike")
     return pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
 
 
-def _looked_at(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _looked_at(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with their share of equal tokens, those that look alike enough, a < b."""
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     one = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("s_a"))
     two = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("s_b"))
-    return ordered.join(one, "a").join(two, "b").withColumn("alike", _alike("s_a", "s_b")).where(F.col("alike") >= LOOK_AT).select("a", "b", "alike")
+    return ordered.join(one, "a").join(two, "b").withColumn("alike", _alike("s_a", "s_b")).where(F.col("alike") >= look_at(percent)).select("a", "b", "alike")
 
 
 def _to_pivot(large: DataFrame, reps: DataFrame) -> DataFrame:
@@ -329,9 +346,9 @@ def _links(reps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
         seen = seen.unionByName(pairs.select("a", "b"))
 
     for phase in range(PHASES + 1):
-        small, large = _branch(open_nodes, reps, phase)
+        small, large = _branch(open_nodes, reps, phase, percent)
         large = materialize(large, "large-nodes")
-        pairs = _within(small, reps).unionByName(_looked_at(_to_pivot(large, reps), reps))
+        pairs = _within(small, reps, percent).unionByName(_looked_at(_to_pivot(large, reps), reps, percent))
         with arrow_batches(spark, 2000):
             pairs = materialize(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), "pairs")
         confirm(pairs)
@@ -400,6 +417,7 @@ def _outsiders(
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _kept_sets(words)
+        least = look_at(percent)
         for part in parts:
             a, b = [], []
             for few, all_ in zip(part.column("few"), part.column("all"), strict=True):
@@ -409,7 +427,7 @@ def _outsiders(
                     share = (np.frombuffer(x["sketch"], np.uint8) == theirs).mean(axis=1)
                     met = {x["c"]}
                     for j in np.argsort(-share, kind="stable"):
-                        if share[j] < LOOK_AT:
+                        if share[j] < least:
                             break
                         y = all_[j]
                         if y["c"] not in met and _similar(of(x["text"]), of(y["text"]), percent):

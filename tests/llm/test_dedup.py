@@ -127,7 +127,7 @@ def test_trees_of_a_large_family_branch_on_independently(spark):
     first = [edit(base, 0.02) for _ in range(n)]
     signatures = first + [edit(tokens, 0.15) for tokens in first]
     reps = spark.createDataFrame(list(enumerate(signatures)), "rep long, signature array<int>").repartition(4)
-    paths = spark.createDataFrame([(p * 7919,) for p in range(N.TREES)], "path long")
+    paths = spark.createDataFrame([(p * 7919,) for p in range(12)], "path long")
     small, large = N._branch(paths.crossJoin(reps.select("rep")), reps, 1)
     nodes = defaultdict(set)
     for r in small.union(large).collect():
@@ -136,6 +136,11 @@ def test_trees_of_a_large_family_branch_on_independently(spark):
     assert len(met) >= 0.98 * n
 
 
+def test_what_is_compared_follows_the_threshold():
+    assert abs(N.look_at(85) - 0.735) < 1e-3 and (N.trees(85), N.ways(85)) == (12, 5)
+    assert N.look_at(80) < 0.675 and (N.trees(80), N.ways(80)) == (17, 7)
+
+
 def test_near_dedup_of_repeated_ids_and_empty_tables(spark):
     data = [(1, PROSE), (1, "other words here for the same id and more of them"), (2, "other words here for the same id and more of them"), (3, PROSE), (4, None), (5, ""), (None, PROSE)]
     table = spark.createDataFrame(data, "doc_id long, text string")

@@ -37,6 +37,14 @@ def test_pipeline(spark):
         assert sum(p.length for p in own) == own[0].doc_tokens
 
 
+def test_near_stage_drops_copies_from_80_percent_on(spark):
+    words = [f"w{i}" for i in range(204)]  # 200 shingles
+    copy = [*words[:60], "other", *words[61:120], "another", *words[121:180], "third", *words[181:190], "x", *words[191:]]
+    texts = {1: words, 2: copy, 3: [f"v{i}" for i in range(204)]}  # 1 and 2 share 180 of 220: 0.818
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.near(spark, docs, SF).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("make", [awkward, empty])
 def test_stages_take_awkward_rows(spark, make, tmp_path):
     docs = make(spark)

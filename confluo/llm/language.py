@@ -16,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo.llm.common import fold
 
 #: Labelled text per language, and of all languages together, in code points: the bound of
-#: the sample that the automata are built from. Which rows, is decided by a hash of their id.
+#: the sample that the automata are built from. Which rows, is decided by a hash of id and text.
 TEXT_PER_LANGUAGE, TEXT_IN_ALL = 40_000, 400_000
+#: Rows per language that the sample is taken from, and how many texts share the bound at least.
+ROWS, TEXTS = 400, 40
 FOLDS, HELD_OUT = 3, 1
 LANE = 1024
 BATCH = 4_000_000  # code points parsed at once
@@ -32,26 +34,64 @@ UNKNOWN = "und"
 _MARK = np.int32(1 << 30)
 
 
+def pieces(lengths: list[int], bound: int) -> list[int]:
+    """How much of each text is learned, at most ``bound`` code points in all.
+
+    The first texts give at most a ``TEXTS``-th of the bound each; where all of them leave room,
+    longer ones give more, all up to the same length.
+    """
+    some, most, room = [], max(200, bound // TEXTS), bound
+    for n in lengths:
+        if room <= 0:
+            break
+        some.append(n)
+        room -= min(n, most)
+    if room > 0:
+        room = bound
+        for k, n in enumerate(sorted(some)):
+            most = max(most, room // (len(some) - k))
+            room -= min(n, most)
+            if n > most:
+                break
+    out, room = [], bound
+    for n in some:
+        out.append(min(n, most, room))
+        room -= out[-1]
+    return out
+
+
 def labelled_texts(docs: DataFrame, per_language: int = TEXT_PER_LANGUAGE, in_all: int = TEXT_IN_ALL) -> dict[str, str]:
-    """Text by language from rows outside the held-out fold, at most ``per_language`` code points each."""
+    """Text by language from rows outside the held-out fold, at most ``per_language`` code points each.
+
+    Per language the ``ROWS`` different rows of the smallest hashes are looked at, so a language
+    with any labelled text is learned, and from several texts where it has them.
+    """
     rows = docs.select("doc_id", "lang", "text").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(True))
     )
-    rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)).where("length(text) > 0")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    if not sizes:
+    rows = rows.withColumn("place", F.xxhash64("doc_id", "text")).where("length(text) > 0")
+    places = rows.groupBy("lang", "place").agg(F.max(F.length("text")).alias("n"))
+    # The limit on the rank is taken in an eighth of a language's rows, then in what that leaves;
+    # either is taken within each task before the exchange.
+    eighth = F.pmod(F.xxhash64("place"), F.lit(8))
+    for keys in (["lang", "eighth"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("place"))
+        places = places.withColumn("eighth", eighth).withColumn("nth", nth).where(F.col("nth") <= ROWS).select("lang", "place", "n")
+    first = places.collect()  # ROWS per language at most
+    if not first:
         return {}
-    bound = max(1000, min(per_language, in_all // len(sizes)))
-    # Enough rows for twice the bound on average; where the draw falls short, all that came is used.
-    keep = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (2.0 * bound + 200_000) / n))])
-    drawn = rows.where(F.col("place") <= F.try_element_at(keep, F.col("lang"))).select("lang", "place", F.substring("text", 1, bound).alias("text"))
-    out: dict[str, list[str]] = {lang: [] for lang in sizes}
-    room = dict.fromkeys(sizes, bound)
-    for r in sorted(drawn.toLocalIterator(), key=lambda r: (r["place"], r["text"])):
-        if room[r["lang"]] > 0:
-            out[r["lang"]].append(r["text"][: room[r["lang"]]])
-            room[r["lang"]] -= len(out[r["lang"]][-1])
-    return {lang: "\n".join(texts) for lang, texts in sorted(out.items()) if texts}
+    by_lang: dict[str, list] = {}
+    for f in sorted(first, key=lambda f: (f["lang"], f["place"])):
+        by_lang.setdefault(f["lang"], []).append(f)
+    bound = max(1000, min(per_language, in_all // len(by_lang)))
+    wanted = [(lang, f["place"], n) for lang, held in by_lang.items() for f, n in zip(held, pieces([f["n"] for f in held], bound), strict=False)]
+    table = docs.sparkSession.createDataFrame(wanted, "lang string, place long, most int")
+    drawn = rows.join(F.broadcast(table), ["lang", "place"]).select("lang", "place", F.substring("text", F.lit(1), F.col("most")).alias("text"))
+    out: dict[str, list[str]] = {lang: [] for lang in by_lang}
+    # Repeated rows have one place and are learned once.
+    for r in sorted(drawn.groupBy("lang", "place").agg(F.min("text").alias("text")).toLocalIterator(), key=lambda r: (r["lang"], r["place"])):
+        out[r["lang"]].append(r["text"])
+    return {lang: "\n".join(texts) for lang, texts in sorted(out.items())}
 
 
 def alphabet(texts: dict[str, str]) -> np.ndarray:

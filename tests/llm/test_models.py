@@ -56,6 +56,26 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_every_labelled_language_is_learned_from_several_texts(spark):
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    huge = [(i, SAMPLES["de"] * 6000, "de") for i in train[:2]]  # 600,000 code points each
+    mixed = [(train[2], "x" * 50_000, "fr"), *[(i, SAMPLES["fr"], "fr") for i in train[3:13]]]
+    copies = [(train[13], SAMPLES["en"], "en")] * 500
+    table = spark.createDataFrame([*huge, *mixed, *copies], "doc_id long, text string, lang string").repartition(4)
+    got = L.labelled_texts(table, per_language=2000)
+    assert set(got) == {"de", "fr", "en"} and got["en"] == SAMPLES["en"]
+    assert all(len(t.replace("\n", "")) <= 2000 for t in got.values()) and len(got["de"]) == 2001
+    assert got["fr"].count(SAMPLES["fr"]) == 10 and got["fr"].count("x") >= 900
+    assert not L.labelled_texts(empty(spark))
+
+
+def test_pieces_share_the_bound():
+    assert L.pieces([5, 7], 1000) == [5, 7]
+    assert L.pieces([100_000, 10, 100_000], 40_000) == [19_995, 10, 19_995]
+    assert L.pieces([100_000] * 400, 40_000) == [1000] * 40
+    assert L.pieces([100] * 500, 40_000) == [100] * 400
+
+
 def test_languages_of_awkward_rows(spark):
     table = awkward(spark)
     got = L.identify_languages(table).collect()

@@ -1,6 +1,8 @@
 """Document fingerprints of closed syncmers (DataFrame functions only).
 
-A text is a sequence of units (words; words over ``UNIT`` code points are cut). Each k-mer of
+A text is a sequence of units: words, and of a run of more than ``UNIT`` code points without a
+blank (text of a script without blanks, long encoded lines) all pieces of ``PIECE`` code points,
+one from each code point on, so that no unit depends on where the run began. Each k-mer of
 units is looked at on its own: it is an anchor if the smallest hash of its inner s-mers lies at
 its first or last place. The choice needs no neighbours, so equal passages give equal anchors
 wherever they stand, and two anchors are at most ``K - S`` units apart in any text.
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 from confluo.llm.common import let, whole_text
 from confluo.session import materialize
 
-K, S, UNIT = 5, 2, 16
+K, S, UNIT, PIECE = 5, 2, 16, 8
 #: Code points that one group of neighbouring documents aims at, and the most groups.
 GROUP_CHARS, MOST_GROUPS = 8_000_000, 4096
 _BLOCK = 64
+_WORD = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{1,{UNIT}}}(?![^\x20\x09-\x0D])"
+#: The unit is the group that looks ahead; then a word is passed as a whole, of a long run one code point.
+_UNITS = rf"(?=({_WORD}|[^\x20\x09-\x0D]{{{PIECE}}}))(?:{_WORD}|[^\x20\x09-\x0D])"
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -31,7 +36,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     A text of fewer than k units but one at least has one anchor, all its units.
     """
-    units = F.transform(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT}}}"), F.lit(0)), lambda u: F.xxhash64(u))
+    units = F.transform(F.regexp_extract_all(text, F.lit(_UNITS), F.lit(1)), lambda u: F.xxhash64(u))
     m = k - s  # the inner s-mers of the k-mer at i start at i … i + m
 
     def inner(h: Column) -> Column:

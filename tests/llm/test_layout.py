@@ -64,6 +64,18 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
     assert found[0] <= found[1]
 
 
+def test_anchors_of_text_without_blanks_do_not_depend_on_the_offset(spark):
+    passage = "".join(chr(0x4E00 + (i * i * 7919 + i * 31) % 20_000) for i in range(60)) + "🎉"
+    texts = [passage, "插" + passage, "ab cd " + passage + " ef", "https://a.example/" + "q7" * 9, "x" * 16 + " " + "y" * 17]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", S.anchors(F.col("text")).alias("f")).collect()
+    keys = {r.i: set(r.f["key"]) for r in got}
+    assert len(keys[0]) > 10 and keys[0] <= keys[1] and keys[0] <= keys[2]
+    import re
+
+    units = [m[1] for m in re.finditer(S._UNITS, texts[4])]
+    assert units == ["x" * 16] + ["y" * 8] * 10
+
+
 def test_plan_has_no_python(spark):
     text = S.fingerprints(spark.createDataFrame(rows([PROSE]), SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text

@@ -11,11 +11,16 @@ from confluo.llm.language import identify_languages
 from confluo.llm.near_dedup import near_dedup
 from confluo.llm.packing import pack, pieces_digest
 from confluo.llm.pii import personal_data
+from confluo.llm.prefix_trie import SQL as TRIE_SQL
+from confluo.llm.prefix_trie import prefix_trie
 from confluo.llm.quality import quality_scores
 from confluo.llm.registry import ORACLES, QUERIES, query
 from confluo.llm.secrets import secret_scan
 from confluo.llm.sharding import kd_shards
 from confluo.llm.syncmers import fingerprints
+from confluo.llm.toxicity import toxicity_scores
+from confluo.llm.vector_codes import compress_vectors
+from confluo.llm.vector_codes import sql as vector_codes_sql
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -84,3 +89,18 @@ def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))
+
+
+@query("op11_vector_codes", vector_codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

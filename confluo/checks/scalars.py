@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
@@ -9,6 +11,7 @@ from confluo.checks.registry import (
     any_in, any_match, case, lit, mapped, matches, norm_base, query, strip, table,
 )
 from confluo.checks.views import DOCS, POSTINGS, docs, postings
+from confluo.functions import entities as E
 from confluo.functions import labels as L
 from confluo.functions import text as T
 
@@ -151,10 +154,30 @@ def _ts_coerce(spark, sf):
     )
 
 
+def _character_sql(n: str) -> str:
+    nothing = " OR ".join([f"{n} % 65536 >= 65534", *[f"{n} BETWEEN {low} AND {high}" for low, high in E.NOTHING]])
+    controls = "[" + ", ".join(map(lit, E.CONTROLS)) + "]"
+    return case(
+        [
+            (f"{n} = 0 OR {n} > {E.LAST_POINT} OR {n} BETWEEN 55296 AND 57343", lit(E.UNKNOWN)),
+            (f"{n} BETWEEN 128 AND 159", f"{controls}[{n} - 127]"),
+            (nothing, "''"),
+        ],
+        f"chr(CAST({n} AS INTEGER))",
+    )
+
+
 def unescape_sql(x: str) -> str:
-    for name, char in D.HTML_ENTITIES:
-        x = f"replace({x}, {lit(name)}, {lit(char)})"
-    return x
+    """All character references, by the standard table."""
+    table = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in html5.items()) + "}"
+    opened = "MAP {" + ", ".join(f"{lit(k)}: {lit(html5[k])}" for k in E.OPEN_NAMES) + "}"
+    shorter = ", ".join(f"CASE WHEN length(s) > {n} THEN {opened}[left(s, {n})] || s[{n + 1}:] END" for n in range(E.LONGEST_OPEN, 1, -1))
+    number = f"coalesce(TRY_CAST(CASE WHEN s[2] IN ('x', 'X') THEN '0x' || rtrim(s[3:], ';') ELSE rtrim(s[2:], ';') END AS BIGINT), {E.LAST_POINT + 1})"
+    numeric = f"list_transform([{number}], lambda n: {_character_sql('n')})[1]"
+    one = f"list_transform([r[2:]], lambda s: CASE WHEN s[1] = '#' THEN {numeric} ELSE coalesce({table}[s], {shorter}, '&' || s) END)[1]"
+    found = f"list_transform(regexp_extract_all({x}, {lit(E.REFERENCE)}), lambda r: {one})"
+    joined = f"list_transform(list_zip(string_split_regex({x}, {lit(E.REFERENCE)}), {found}), lambda z: z[1] || coalesce(z[2], ''))"
+    return f"CASE WHEN contains({x}, '&') THEN array_to_string({joined}, '') ELSE {x} END"
 
 
 def html_strip_sql(x: str) -> str:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import html as _html
 import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from confluo import defaults as D
+from confluo.functions.entities import unescape
 
 # every character that counts as white space when a text is stripped
 WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -164,16 +162,11 @@ def ts_coerce(value: Column, *, kind: str = "text") -> Column:
     return F.convert_timezone(None, F.lit("UTC"), moment.cast("timestamp_ntz"))
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_all(text: pd.Series) -> pd.Series:
-    return text.map(_html.unescape, na_action="ignore")
-
-
 def html_unescape(text: Column, *, full: bool = True) -> Column:
-    """Resolve character references: the whole standard table with numeric references through
-    an Arrow-batched function, or the common ones by expression."""
+    """Resolve character references: the whole standard table with numeric and unterminated
+    references, or the common ones only."""
     if full:
-        return _unescape_all(text)
+        return unescape(text)
     for name, char in D.HTML_ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     return text

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
+from confluo.checks.scalars import unescape_sql
 from confluo.functions import labels as L
 from confluo.functions import predicates as P
 from confluo.functions import text as T
@@ -72,6 +77,25 @@ def test_remote_and_job_type(spark):
     ]
 
 
+def test_character_references_resolve_as_in_the_standard_library(spark):
+    names = [f"&{n}" for n in html5]
+    numbers = [f"&#{n};" for n in (0, 1, 9, 13, 38, 127, 128, 129, 150, 159, 160, 255, 256, 55296, 57343, 64976, 65533, 65534, 65535, 128512, 131070, 1114109, 1114111, 1114112, 10**12, 10**30)]
+    others = [
+        None, "", "&", "&;", "&#;", "&#x;", "a&b", "&amp", "&ampx", "&notit;", "&notin;", "&NotEqualTilde;", "&copycat &copy", "&frac123;", "&#38", "&#x26x", "&#X1F600;", "&#xZ", "&#000000000065;",
+        "&#x0000000000041;", "&#xfffffffffffffffffff;", "&amp;lt;", "&lt&gt;&quot", "é&日本;🎉&hearts;", "x" * 50 + "&" + "y" * 40 + ";", "&&amp;&", "&thinspace;&notanentityatall;&nbsp ", "&a\tb;", "&<b>",
+    ]
+    texts = [*names, *[n[:-1] for n in names if n.endswith(";")], *[n + "z" for n in names], *numbers, *others]
+    want = [None if t is None else html.unescape(t) for t in texts]
+    assert one(spark, texts, T.html_unescape) == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i BIGINT, x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts[-len(others) - len(numbers) :])))
+    got = [r[0] for r in con.execute(f"SELECT {unescape_sql('x')} FROM t ORDER BY i").fetchall()]
+    assert got == want[-len(got) :]
+    plan = spark.createDataFrame([("&amp;",)], "x string").select(T.html_strip(c("x")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
 def test_html_strip(spark):
     text = "a &lt;b&gt; &amp;lt; &#x27;q&#x27;<p>line<i>x</i> "
     assert one(spark, [text], T.html_strip) == ["a  &lt; 'q'\nlinex"]

@@ -169,10 +169,10 @@ def _topk_ranked(spark, sf):
 
 @query(
     "rank_position",
-    f"WITH {_RANK_SQL} SELECT id, row_number() OVER ({_RANK_ORDER}) - 1 AS rank_position FROM (SELECT * FROM s {_RANK_ORDER} LIMIT 50)",
+    f"WITH {_RANK_SQL} SELECT id, row_number() OVER ({_RANK_ORDER}) - 1 AS rank_position FROM s",
 )
 def _rank_position(spark, sf):
-    return rank_position(topk_ranked(_scored(spark, sf), n=50), order=rank_order()).select("id", "rank_position")
+    return rank_position(_scored(spark, sf), order=rank_order()).select("id", "rank_position")
 
 
 @query(

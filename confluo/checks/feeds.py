@@ -603,7 +603,7 @@ def _sink_ranked(spark, sf):
 @query(
     "sink_reference_merge",
     "WITH m AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL "
-    "SELECT min(k) FROM (SELECT left(c_name, 9) || CAST(c_custkey % 50 AS VARCHAR) AS n, c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) GROUP BY lower(n)) "
+    "SELECT min(k) FROM (SELECT left(c_name, 9) || CAST(c_custkey // 10 AS VARCHAR) AS n, c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) GROUP BY lower(n)) "
     "SELECT count(*) AS total, count(*) FILTER (WHERE id % 4 = 0) AS verified_count FROM m",
 )
 def _sink_reference_merge(spark, sf):

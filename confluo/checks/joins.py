@@ -358,7 +358,7 @@ def _backfill_legacy_source(spark, sf):
 @query(
     "merge_append_new",
     "SELECT c_name AS name, c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL "
-    "SELECT arg_min(n, k), min(k) FROM (SELECT left(c_name, 9) || CAST(c_custkey % 50 AS VARCHAR) || ' ' AS n, c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) GROUP BY lower(trim(n))",
+    "SELECT arg_min(n, k), min(k) FROM (SELECT left(c_name, 9) || CAST(c_custkey // 10 AS VARCHAR) || ' ' AS n, c_custkey AS k FROM customer WHERE c_custkey % 9 <> 0) GROUP BY lower(trim(n))",
 )
 def _merge_append_new(spark, sf):
     return merge.merge_append_new(*append_slices(spark, sf)).select("name", "id")
@@ -368,6 +368,6 @@ def append_slices(spark, sf):
     customers, n = table(spark, sf, "customer"), c("c_custkey")
     stored = customers.filter(n % 2 == 0).select(c("c_name").alias("name"), n.alias("id"))
     shared = F.when(n % 9 == 0, F.when(n % 2 == 0, F.upper("c_name")).otherwise(F.lit("  ")))
-    name = F.coalesce(shared, F.concat(F.left("c_name", F.lit(9)), (n % 50).cast("string"), F.lit(" ")))
+    name = F.coalesce(shared, F.concat(F.left("c_name", F.lit(9)), F.floor(n / 10).cast("string"), F.lit(" ")))
     return stored, customers.select(name.alias("name"), n.alias("id"), n.alias("arrival"))
 

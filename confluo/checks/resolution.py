@@ -111,7 +111,7 @@ def _apply_insert(spark, sf):
 
 _SLICES_SQL = (
     f"{OBSERVATIONS}, old AS (SELECT job_id, source_name, min(seen) AS first_seen, max(seen) AS last_seen, CASE WHEN bool_or(source_trust = 'trusted') THEN 'trusted' ELSE 'untrusted' END AS source_trust "
-    "FROM observations WHERE seen < TIMESTAMP '1997-01-01' GROUP BY 1, 2), new AS (SELECT DISTINCT job_id, source_name FROM observations WHERE seen >= TIMESTAMP '2001-06-01'), "
+    "FROM observations WHERE seen < TIMESTAMP '1997-01-01' GROUP BY 1, 2), new AS (SELECT DISTINCT job_id, source_name FROM observations WHERE seen >= TIMESTAMP '1997-01-01'), "
     "gain AS (SELECT DISTINCT job_id FROM new WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.job_id = new.job_id AND o.source_name = new.source_name)), "
     "flip AS (SELECT DISTINCT job_id FROM old WHERE source_trust = 'untrusted' AND job_id IN (SELECT job_id FROM gain))"
 )
@@ -122,7 +122,7 @@ def _slices(spark, sf):
 
     rows = observations(spark, sf)
     old = agg_provenance_pairs(rows.filter(c("seen") < F.lit("1997-01-01").cast("timestamp_ntz")))
-    new = rows.filter(c("seen") >= F.lit("2001-06-01").cast("timestamp_ntz")).select("job_id", "source_name").distinct()
+    new = rows.filter(c("seen") >= F.lit("1997-01-01").cast("timestamp_ntz")).select("job_id", "source_name").distinct()
     return old, new
 
 

@@ -1,4 +1,7 @@
-"""Filters with an order and a limit. A limit is always ``TakeOrdered`` over partial top-k."""
+"""Filters with an order and a limit, and positions of whole ordered lists.
+
+A limit is always ``TakeOrdered`` over partial top-k; positions come from range partitions.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from confluo import defaults as D
 from confluo.functions.labels import role_priority, source_priority
+from confluo.session import materialize
 
 
 def by_status_recent(
@@ -69,9 +72,21 @@ def rank_order(score: str = "similarity", arrival: str = "arrival") -> Sequence[
     ]
 
 
-def rank_position(ranked: DataFrame, *, n: int = D.TOP_K_MOST, order: Sequence[Column] | None = None) -> DataFrame:
-    """0-based position of the first ``n`` rows in the final order. The limit is taken as a
-    partial top-n first, so the one partition this window needs is bounded by ``n``."""
-    by = order or rank_order()
-    window = Window.orderBy(*by)
-    return ranked.orderBy(*by).limit(n).withColumn("rank_position", (F.row_number().over(window) - 1).cast("bigint"))
+def rank_position(ranked: DataFrame, *, n: int | None = None, order: Sequence[Column] | None = None) -> DataFrame:
+    """0-based position of every row in the final order; of the first ``n`` rows, if given.
+
+    Rows are range-partitioned in that order and written with the number of their part. A part
+    starts where the counts of the parts before it end, so each is numbered by itself; only one
+    count per part is ever brought together. Rows that the order leaves equal stay in one part.
+    """
+    by = list(order or rank_order())
+    rows = ranked if n is None else ranked.orderBy(*by).limit(n)
+    parts = materialize(rows.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranked-parts")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
+    return (
+        parts.join(starts, "__part")
+        .withColumn("rank_position", (F.col("__start") + within - 1).cast("bigint"))
+        .drop("__part", "__start")
+    )

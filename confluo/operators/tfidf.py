@@ -1,23 +1,27 @@
 """TF-IDF weights and cosine similarity to one query text, in long form.
 
-``fit_vocabulary`` reads the corpus once: term frequency and document frequency come out
-of a single aggregate per term, so no (document, term) pair is shuffled. Its result is
-capped by ``max_features`` and written to the shared folder. ``weighted_terms`` reads the
-corpus again, keeps vocabulary terms only, and needs one shuffle by document.
+Occurrences are counted inside the row: a document's n-grams are sorted and each run becomes
+one ``(term, tf)``, so neither texts nor occurrences are ever shuffled. Weights look each
+document's distinct terms up in the vocabulary. The cosine needs no term as such: terms
+travel as 64-bit hashes, written once as rows of three numbers, and a document's norm and dot
+product come out of one partial aggregate over them. (A collision of hashes would add the
+document frequencies of two terms.) Both sides of the look-up have an exchange of their own,
+so a term that most documents have is split over tasks.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
 from confluo.functions.labels import let
-from confluo.session import materialize
-
-QUERY_ID = "__query__"
+from confluo.operators.ordering import rank_position
+from confluo.session import materialize, own_exchange
 
 
 @dataclass(frozen=True)
@@ -46,9 +50,64 @@ def ngrams(words: Column) -> Column:
     return let({"w": words}, both)
 
 
-def _with_query(docs: DataFrame, query: str, text: str) -> DataFrame:
-    spark = docs.sparkSession
-    return docs.select(F.col(text).alias("text")).unionByName(spark.range(1).select(F.lit(query).alias("text")))
+def _runs(grams: Column) -> Column:
+    """``array<struct<term, tf>>`` of an array: sorted, then one entry per run of equal values."""
+
+    def counted(v: Column) -> Column:
+        a = v["a"]
+        starts = F.filter(F.transform(a, lambda _, i: i), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+        return let(
+            {"a": a, "s": starts},
+            lambda w: F.transform(
+                w["s"],
+                lambda at, k: F.struct(
+                    F.get(w["a"], at).alias("term"), (F.coalesce(F.get(w["s"], k + 1), F.size(w["a"])) - at).alias("tf")
+                ),
+            ),
+        )
+
+    return let({"a": F.array_sort(grams)}, counted)
+
+
+def term_counts(
+    docs: DataFrame,
+    *,
+    key: str = "id",
+    text: str = "text",
+    pattern: str = D.TOKEN_PATTERN,
+    form: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """``(key, term, tf)``, one row per document row and distinct n-gram; ``form`` maps the
+    n-grams before they are counted."""
+    grams = ngrams(tokens(F.col(text), pattern=pattern))
+    return docs.select(F.col(key), F.inline(_runs(F.transform(grams, form) if form else grams)))
+
+
+def _query_counts(docs: DataFrame, query: str, *, pattern: str) -> DataFrame:
+    """``(term, tf)`` of the query text. Bounded by the words of the query."""
+    one = docs.sparkSession.range(1).select("id", F.lit(query).alias("text"))
+    return term_counts(one, pattern=pattern).select("term", "tf")
+
+
+def _idf(n_docs: int, df: Column) -> Column:
+    return F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
+
+
+def most_frequent(stats: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of ``stats(term, tf, …)`` by falling ``tf``, then term.
+
+    A histogram of ``tf`` (as many rows as different frequencies) tells the frequency at which
+    the list ends. More frequent terms are kept unsorted; only the terms of just that frequency
+    are put in order, in range partitions.
+    """
+    above = Window.orderBy(F.col("tf").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    levels = stats.groupBy("tf").count().withColumn("above", F.coalesce(F.sum("count").over(above), F.lit(0)))
+    cut = levels.filter((F.col("above") < n) & (F.col("above") + F.col("count") >= n)).first()
+    if cut is None:  # fewer terms than that
+        return stats
+    last = rank_position(stats.filter(F.col("tf") == cut["tf"]), order=[F.col("term").asc()])
+    ending = last.filter(F.col("rank_position") < n - cut["above"]).drop("rank_position")
+    return stats.filter(F.col("tf") > cut["tf"]).unionByName(ending)
 
 
 def fit_vocabulary(
@@ -59,46 +118,23 @@ def fit_vocabulary(
     max_features: int | None = None,
     pattern: str = D.TOKEN_PATTERN,
 ) -> Vocabulary:
-    """Top terms of documents plus query by total frequency (ties by term), with smooth idf."""
-    corpus = _with_query(docs, query, text)
-    grams = corpus.select(ngrams(tokens(F.col("text"), pattern=pattern)).alias("g"))
-    # tf rows and df rows in one explode: (term, tf, df)
-    counted = F.concat(
-        F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(
-            F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-        ),
-    )
-    stats = (
-        grams.select(F.inline(counted))
-        .groupBy("term")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    )
+    """Terms of documents plus query with smooth idf; the ``max_features`` most frequent (ties by
+    term), if given."""
+    rows = docs.select(F.lit(0).alias("id"), F.col(text).alias("text"))
+    counts = term_counts(rows, pattern=pattern).select("term", "tf").unionByName(_query_counts(docs, query, pattern=pattern))
+    stats = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
     if max_features is not None:
-        stats = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
-    n_docs = corpus.count()
-    idf = F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return Vocabulary(materialize(stats.select("term", "df", idf.alias("idf")), "vocabulary"), n_docs)
+        stats = most_frequent(materialize(stats, "term-counts"), max_features)
+    n_docs = docs.count() + 1
+    return Vocabulary(materialize(stats.select("term", "df", _idf(n_docs, F.col("df")).alias("idf")), "vocabulary"), n_docs)
 
 
 def weighted_terms(
     docs: DataFrame, vocabulary: Vocabulary, *, key: str = "id", text: str = "text", pattern: str = D.TOKEN_PATTERN
 ) -> DataFrame:
-    """``(key, term, w)`` with ``w = tf · idf`` before normalisation.
-
-    The raw texts are hash-partitioned by document first: they are smaller than their
-    exploded n-grams, and both aggregates that follow reuse the partitioning.
-    """
-    grams = (
-        docs.select(F.col(key), F.col(text).alias("__text"))
-        .repartition(key)
-        .select(key, F.explode(ngrams(tokens(F.col("__text"), pattern=pattern))).alias("term"))
-    )
-    return (
-        grams.join(vocabulary.terms.select("term", "idf"), "term")
-        .groupBy(key, "term")
-        .agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-    )
+    """``(key, term, w)`` with ``w = tf · idf`` before normalisation, for the terms that are kept."""
+    counts = term_counts(docs, key=key, text=text, pattern=pattern)
+    return counts.join(own_exchange(vocabulary.terms.select("term", "idf")), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
 
 def tfidf_weights(
@@ -112,21 +148,9 @@ def tfidf_weights(
 ) -> DataFrame:
     """``(key, term, weight)``, L2-normalised over the kept terms of each document."""
     vocabulary = fit_vocabulary(docs, query, text=text, max_features=max_features, pattern=pattern)
-    raw = weighted_terms(docs, vocabulary, key=key, text=text, pattern=pattern)
+    raw = materialize(weighted_terms(docs, vocabulary, key=key, text=text, pattern=pattern), "weighted-terms")
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def query_weights(docs: DataFrame, query: str, vocabulary: Vocabulary, *, pattern: str = D.TOKEN_PATTERN) -> DataFrame:
-    """``(term, wq)``: unit vector of the query text. Bounded by the words of the query."""
-    one = docs.sparkSession.range(1).select(F.explode(ngrams(tokens(F.lit(query), pattern=pattern))).alias("term"))
-    raw = one.groupBy("term").count().join(vocabulary.terms, "term").select(
-        "term", (F.col("count") * F.col("idf")).alias("w")
-    )
-    total = raw.groupBy().agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"), F.collect_list(F.struct("term", "w")).alias("t")
-    )
-    return total.select("n", F.inline("t")).select("term", (F.col("w") / F.col("n")).alias("wq"))
+    return raw.join(own_exchange(norms), key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def cosine_to_query(
@@ -140,20 +164,24 @@ def cosine_to_query(
 ) -> DataFrame:
     """``(key, cosine)`` for documents with at least one kept term; others have similarity 0
     and are absent."""
-    vocabulary = fit_vocabulary(docs, query, text=text, max_features=max_features, pattern=pattern)
-    wq = query_weights(docs, query, vocabulary, pattern=pattern)
-    scored = Vocabulary(
-        materialize(vocabulary.terms.join(wq, "term", "left"), "query-weights"), vocabulary.n_docs
-    )
-    grams = (
-        docs.select(F.col(key), F.col(text).alias("__text"))
-        .repartition(key)
-        .select(key, F.explode(ngrams(tokens(F.col("__text"), pattern=pattern))).alias("term"))
+    postings = materialize(
+        term_counts(docs, key=key, text=text, pattern=pattern, form=lambda g: F.xxhash64(g)).withColumnRenamed("term", "h"), "postings"
     )
-    w = (F.count(F.lit(1)) * F.first("idf")).alias("w")
-    per_term = grams.join(scored.terms, "term").groupBy(key, "term").agg(w, F.first("wq").alias("wq"))
-    return per_term.groupBy(key).agg(
-        (
-            F.coalesce(F.sum(F.col("w") * F.col("wq")), F.lit(0.0)) / F.sqrt(F.sum(F.col("w") * F.col("w")))
-        ).alias("cosine")
+    asked = _query_counts(docs, query, pattern=pattern).select(F.xxhash64("term").alias("h"), F.col("tf").alias("asked"))
+    if max_features is None:
+        n_docs = docs.count() + 1
+        df = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).join(asked, "h", "full_outer")
+        df = df.withColumn("df", F.coalesce("df", F.lit(0)) + F.col("asked").isNotNull().cast("int"))
+        terms = df.select("h", _idf(n_docs, F.col("df")).alias("idf"), "asked")
+    else:
+        kept = fit_vocabulary(docs, query, text=text, max_features=max_features, pattern=pattern).terms
+        terms = kept.select(F.xxhash64("term").alias("h"), "idf").join(asked, "h", "left")
+    terms = materialize(terms, "term-weights")
+    # the words of the query
+    length = math.sqrt(sum((r.asked * r.idf) ** 2 for r in terms.filter("asked is not null").collect()))
+    w = F.col("tf") * F.col("idf")
+    per_doc = postings.join(own_exchange(terms), "h").groupBy(key).agg(
+        F.sqrt(F.sum(w * w)).alias("norm"), F.coalesce(F.sum(w * F.col("asked") * F.col("idf")), F.lit(0.0)).alias("dot")
     )
+    cosine = F.col("dot") / F.col("norm") / F.lit(length) if length else F.lit(0.0)
+    return per_doc.select(key, cosine.alias("cosine"))

@@ -1,8 +1,8 @@
-"""Digest of the ranked list. Inputs are the k ranked rows, so all gathering is bounded by k."""
+"""Digest of the ranked list. Only the rows that a message shows are ever gathered."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
@@ -50,18 +50,22 @@ def digest_rows(ranked: DataFrame, reference: DataFrame, *, n: int | None = None
     )
 
 
-def digest_message(ranked: DataFrame, reference: DataFrame, *, n: int = D.TOP_K_MOST, order: str = "rank_position") -> DataFrame:
-    """One row ``(total, message)`` of the first ``n`` ranked rows: header, top picks, reference
-    hits, closing line; cut to the message limit. Only rows that are shown are gathered."""
-    rows = digest_rows(ranked.orderBy(order).limit(n), reference, order=order)
-    by_hit = Window.partitionBy("is_reference").orderBy("rank")
-    rows = rows.withColumn("hit", F.when(F.col("is_reference"), F.row_number().over(by_hit)))
-    gathered = rows.groupBy().agg(
+def digest_message(ranked: DataFrame, reference: DataFrame, *, n: int | None = None, order: str = "rank_position") -> DataFrame:
+    """One row ``(total, message)`` of all ranked rows, or the first ``n``: header, top picks,
+    reference hits, closing line; cut to the message limit.
+
+    The list is counted by partial aggregates; its featured rows and first reference hits are
+    all that is gathered, however long it is.
+    """
+    rows = digest_rows(ranked if n is None else ranked.orderBy(order).limit(n), reference, order=order)
+    counted = rows.groupBy().agg(
         F.count(F.lit(1)).alias("total"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("rank") <= D.FEATURED_ROWS, F.struct("rank", "lines")))
-        ).alias("top"),
-        F.array_sort(F.collect_list(F.when(F.col("hit") <= D.REFERENCE_HITS, F.struct("rank", "company")))).alias("hits"),
+        F.array_sort(F.collect_list(F.when(F.col("rank") <= D.FEATURED_ROWS, F.struct("rank", "lines")))).alias("top"),
+    )
+    first = rows.filter("is_reference").select("rank", "company").orderBy("rank").limit(D.REFERENCE_HITS)
+    named = first.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "company"))).alias("hits"))
+    gathered = counted.unionByName(named, allowMissingColumns=True).groupBy().agg(
+        F.max("total").alias("total"), *[F.first(x, ignorenulls=True).alias(x) for x in ("top", "hits")]
     )
     head = F.array(
         F.concat(

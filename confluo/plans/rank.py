@@ -61,7 +61,8 @@ def relevance_filter(jobs: DataFrame, *, profile: Profile = Profile()) -> DataFr
         accept=profile.accept, reject=profile.reject, exclude=profile.exclude,
         include=profile.include, titles=profile.titles, geo_chars=profile.geo_chars,
     )
-    return dedup_prefer_source(jobs.filter(keep))
+    # written once: the gates read whole descriptions, and de-duplication reads its input twice
+    return dedup_prefer_source(materialize(jobs.filter(keep), "relevant"))
 
 
 def rank_relevant(

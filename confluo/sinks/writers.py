@@ -60,9 +60,11 @@ def sink_telemetry_daily(records: DataFrame, path: str) -> None:
     records.select("*", day).write.mode("append").option("ignoreNullFields", False).partitionBy("dt").json(path)
 
 
-def sink_ranked(ranked: DataFrame, path: str, *, n: int = D.TOP_K_MOST, order: str = "rank_position") -> None:
-    """The first ``n`` ranked rows, in order, as one JSON-lines file."""
-    ranked.orderBy(order).limit(n).coalesce(1).write.mode("overwrite").json(path)
+def sink_ranked(ranked: DataFrame, path: str, *, n: int | None = None, order: str = "rank_position") -> None:
+    """The ranked rows as JSON lines, in order from file to file and within each; of the first
+    ``n`` rows, if given, as one file."""
+    rows = ranked.orderBy(order) if n is None else ranked.orderBy(order).limit(n).coalesce(1)
+    rows.write.mode("overwrite").json(path)
 
 
 def sink_reference_merge(stored: DataFrame, incoming: DataFrame, path: str, *, name: str = "name", order: str = "arrival") -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pytest
@@ -12,6 +13,7 @@ from confluo.operators import tfidf
 from confluo.operators.aggregates import agg_skip_reasons
 from confluo.operators.ordering import rank_order, rank_position
 from confluo.plans import digest, push, rank
+from confluo.sinks.writers import sink_ranked
 
 JOBS = "id bigint, title string, company string, location string, description string, source string, is_remote boolean, url string, arrival bigint"
 
@@ -47,6 +49,38 @@ def test_vocabulary_cap(spark):
     assert sorted(r.term for r in vocabulary.terms.collect()) == ["aa", "aa aa", "bb"] and vocabulary.n_docs == 3
 
 
+def test_most_frequent_equals_a_sort(spark):
+    rows = [(f"t{i:04}", 1 + 1000 // (i + 1)) for i in range(900)]
+    table = spark.createDataFrame(rows, "term string, tf long").repartition(7)
+    for n in (1, 5, 30, 31, 500, 899, 900, 901):
+        want = sorted(t for t, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:n])
+        assert sorted(r.term for r in tfidf.most_frequent(table, n).collect()) == want
+
+
+def test_counts_are_folded_inside_the_row(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa bb aa"), (2, ""), (3, None), (3, "cc")], "id bigint, text string")
+    got = sorted(tuple(r) for r in tfidf.term_counts(docs).collect())
+    assert got == [(1, "aa", 3), (1, "aa bb", 2), (1, "bb", 2), (1, "bb aa", 2), (3, "cc", 1)]
+    plan = tfidf.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_cosine_moves_numbers_only(spark):
+    """No exchange or sort of the plan has a text or a term in it, and weights agree with it."""
+    docs = spark.createDataFrame([(i, "alpha beta " * (i % 5) + f"word{i} gamma") for i in range(50)], "id bigint, text string")
+    cosine = tfidf.cosine_to_query(docs, "alpha beta delta")
+    plan = cosine._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "regexp_extract_all" not in plan
+    weights = {(r.id, r.term): r.weight for r in tfidf.tfidf_weights(docs, "alpha beta delta").collect()}
+    asked = tfidf.fit_vocabulary(docs, "alpha beta delta").terms.filter("term in ('alpha', 'beta', 'delta', 'alpha beta', 'beta delta')")
+    idf = {r.term: r.idf for r in asked.collect()}
+    norm = math.sqrt(sum(x * x for x in idf.values()))
+    for r in cosine.collect():
+        assert r.cosine == pytest.approx(sum(weights.get((r.id, t), 0) * x / norm for t, x in idf.items()))
+    bounded = {r.id: r.cosine for r in tfidf.cosine_to_query(docs, "alpha beta delta", max_features=2).collect()}
+    assert bounded[1] == pytest.approx(sum(idf[t] ** 2 for t in ("alpha", "beta")) / math.sqrt(sum(idf[t] ** 2 for t in ("alpha", "beta"))) ** 2, abs=1) and 0 not in bounded
+
+
 def test_rank_and_decide(spark):
     ranked = rank_position(rank.rank_relevant(jobs(spark), min_score=0.01), order=rank_order(arrival="position"))
     rows = {r.id: r for r in rank.decide_ranked(ranked).collect()}
@@ -60,6 +94,37 @@ def test_rank_and_decide(spark):
     assert {r.job_id for r in audit.collect()} == {2, 5, 7}
 
 
+def test_positions_of_a_long_list(spark):
+    """Every row has its position, whatever the number of range partitions; no task has them all."""
+    rows = spark.range(100_000).select(
+        "id", F.concat(F.lit("Role "), (F.col("id") % 7).cast("string")).alias("title"), F.lit("s").alias("source"),
+        (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("similarity"), F.col("id").alias("arrival"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.rank_position for r in rank_position(rows).select("id", "rank_position").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = sorted(((-r.similarity, r.id) for r in rows.collect()))
+    assert [got[i] for _, i in want] == list(range(100_000))
+    assert sorted(r.rank_position for r in rank_position(rows, n=10).collect()) == list(range(10))
+    assert rank_position(rows.limit(0)).count() == 0
+
+
+def test_long_lists_are_exported_and_counted_whole(spark, tmp_path):
+    rows = spark.range(30_000).select(
+        F.col("id").alias("rank_position"), F.concat(F.lit("T"), "id").alias("title"), F.when(F.col("id") % 2000 == 5, "Suno").otherwise("Acme").alias("company"),
+        F.lit("u").alias("url"), F.lit("s").alias("source"), F.lit(True).alias("is_remote"), F.lit("R").alias("location"), F.lit(0.4).alias("similarity"), F.lit("promoted").alias("decision"),
+    )
+    sink_ranked(rows.repartition(5), str(tmp_path / "all"))
+    parts = sorted((tmp_path / "all").glob("part-*"))
+    assert [json.loads(line)["rank_position"] for p in parts for line in p.read_text().splitlines()] == list(range(30_000))
+    sink_ranked(rows, str(tmp_path / "top"), n=7)
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "top").glob("part-*")) == 7
+    row = digest.digest_message(rows, spark.createDataFrame([(0, "suno")], "position int, name string")).collect()[0]
+    assert row.total == 30_000 and "hits: Suno, Suno, Suno, Suno, Suno\n" in row.message
+
+
 RANKED = "rank_position bigint, title string, company string, url string, source string, is_remote boolean, location string, similarity double, decision string"
 
 

@@ -7,6 +7,9 @@ sorted-token and shared-token ratios; beyond it, of ``ratio`` and scaled window
 
 from __future__ import annotations
 
+from collections.abc import Set
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +56,19 @@ def _window_ratio(a: str, b: str) -> float:
     return best
 
 
+def _set_ratio(a: Set[str], b: Set[str]) -> float:
+    """Ratio by shared tokens: 100 where one side has no other, 0 where one side has none at all."""
+    shared = a & b
+    only_a, only_b = " ".join(sorted(a - b)), " ".join(sorted(b - a))
+    if not only_a or not only_b:
+        return 100.0 if shared else 0.0
+    base = len(" ".join(shared))
+    len_a, len_b = (base + bool(shared) + len(x) for x in (only_a, only_b))
+    distance = len(only_a) + len(only_b) - 2 * _lcs(_positions(only_a), len(only_a), only_b)
+    token = 100.0 - 100.0 * distance / (len_a + len_b)
+    return max(token, 200.0 * base / (base + len_a), 200.0 * base / (base + len_b)) if shared else token
+
+
 def wratio_text(a: str | None, b: str | None) -> float:
     if not a or not b:
         return 0.0
@@ -63,18 +79,7 @@ def wratio_text(a: str | None, b: str | None) -> float:
     only_a, only_b = " ".join(sorted(set_a - set_b)), " ".join(sorted(set_b - set_a))
     shared = set_a & set_b
     if longer / shorter < LENGTH_FACTOR:
-        token = _ratio(" ".join(words_a), " ".join(words_b))
-        if shared and (not only_a or not only_b):
-            token = 100.0
-        elif only_a and only_b:
-            gap = bool(shared)
-            base = len(" ".join(shared)) if shared else 0
-            len_a, len_b = base + gap + len(only_a), base + gap + len(only_b)
-            common = _lcs(_positions(only_a), len(only_a), only_b)
-            distance = len(only_a) + len(only_b) - 2 * common
-            token = max(token, 100.0 - 100.0 * distance / (len_a + len_b))
-            if shared:
-                token = max(token, 200.0 * base / (base + len_a), 200.0 * base / (base + len_b))
+        token = max(_ratio(" ".join(words_a), " ".join(words_b)), _set_ratio(set_a, set_b))
         return max(best, TOKEN_SCALE * token)
     scale = 0.9 if longer / shorter <= 8.0 else 0.6
     if shared:
@@ -86,6 +91,62 @@ def wratio_text(a: str | None, b: str | None) -> float:
     return max(best, scale * _window_ratio(a, b), TOKEN_SCALE * scale * token)
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A key with what every comparison needs of it."""
+
+    text: str
+    words: tuple[str, ...]
+    joined: str
+    set: frozenset[str]
+    masks: dict[str, int]
+    joined_masks: dict[str, int]
+
+    @classmethod
+    def of(cls, text: str) -> Prepared:
+        words = tuple(sorted(text.split()))
+        joined = " ".join(words)
+        masks = _positions(text)
+        return cls(text, words, joined, frozenset(words), masks, masks if joined == text else _positions(joined))
+
+
+def wratio_above(a: Prepared, b: Prepared, floor: float) -> float:
+    """The weighted ratio where it reaches ``floor``, else some value below it.
+
+    A window of the longer text shares no longer subsequence than the whole text does, so most
+    window ratios need not be computed.
+    """
+    la, lb = len(a.text), len(b.text)
+    if not la or not lb:
+        return 0.0
+    longer, shorter = max(la, lb), min(la, lb)
+    common = _lcs(a.masks, la, b.text)
+    best = 200.0 * common / (la + lb)
+    shared = a.set & b.set
+    if longer / shorter < LENGTH_FACTOR:
+        if TOKEN_SCALE * 100.0 < floor:
+            return best
+        total = len(a.joined) + len(b.joined)
+        token = 200.0 * _lcs(a.joined_masks, len(a.joined), b.joined) / total if total else 100.0
+        return max(best, TOKEN_SCALE * max(token, _set_ratio(a.set, b.set)))
+    scale = 0.9 if longer / shorter <= 8.0 else 0.6
+    cut = floor - 1e-9  # bounds may round differently
+    if scale * 200.0 * common / (shorter + common) >= cut:
+        best = max(best, scale * _window_ratio(a.text, b.text))
+    if shared:
+        return max(best, TOKEN_SCALE * scale * 100.0)
+    if TOKEN_SCALE * scale * 100.0 >= floor:
+        common = _lcs(a.joined_masks, len(a.joined), b.joined)
+        repeated = len(a.words) != len(a.set) or len(b.words) != len(b.set)
+        blank = not a.joined and not b.joined
+        if repeated or blank or TOKEN_SCALE * scale * 200.0 * common / (min(len(a.joined), len(b.joined)) + common or 1) >= cut:
+            token = _window_ratio(a.joined, b.joined)
+            if repeated:
+                token = max(token, _window_ratio(" ".join(sorted(a.set)), " ".join(sorted(b.set))))
+            best = max(best, TOKEN_SCALE * scale * token)
+    return best
+
+
 def _char_gap(a: str, b: str) -> int:
     """Lower bound of the insertions and deletions between any two arrangements of the texts."""
     counts: dict[str, int] = {}

@@ -20,11 +20,14 @@ Candidates are a superset; every one is scored, and no partner is dropped or cap
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
+from confluo.functions.bounds import best_matches
 from confluo.functions.labels import let
 from confluo.functions.similarity import LENGTH_FACTOR, TOKEN_SCALE, wratio_from
 from confluo.session import materialize, own_exchange
@@ -215,6 +218,61 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: Keys of one page. Pages of a block meet pairwise; a page is one row.
+PAGE = 512
+
+
+def _pages(keys: DataFrame, columns: list[str], *, page: int) -> DataFrame:
+    """``(block, pages, page, rows)``: the keys of each block dealt over pages of about ``page``."""
+    pages = keys.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / page).alias("pages"))
+    dealt = keys.join(own_exchange(pages), "block").withColumn("page", F.pmod(F.xxhash64("key"), F.col("pages")))
+    rows = F.array_sort(F.collect_list(F.struct(*columns)))
+    return dealt.groupBy("block", "pages", "page").agg(rows.alias("rows"))
+
+
+def best_of_block(keys: DataFrame, names: DataFrame, *, page: int = PAGE) -> DataFrame:
+    """``(block, key, id, other, score)``: the best name of the block for every key, at any score.
+
+    ``keys`` are distinct ``(block, key)``, ``names`` distinct ``(block, key)`` with an ``id``; equal
+    scores go to the smallest id. Keys of blocks without a name are absent.
+
+    Both sides are dealt over pages, and each page of keys meets each page of names of its block
+    once, as a row of its own: a block that a third of all rows have is spread over all tasks.
+    Within a pair of pages bounds of all scores come from a few matrix operations, and a key is
+    scored from its highest bound down until no bound reaches the best score found.
+    """
+    spark = keys.sparkSession
+    stored = _pages(names.filter("key is not null and block is not null"), ["id", "key"], page=page)
+    asked = _pages(keys.filter("key is not null and block is not null").select("block", "key"), ["key"], page=page)
+    dealt = asked.select("block", F.col("rows.key").alias("keys")).join(own_exchange(stored.select("block", "pages").distinct()), "block")
+    pairs = dealt.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1))).join(
+        stored.select("block", "page", F.col("rows.id").alias("ids"), F.col("rows.key").alias("names")), ["block", "page"]
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in names.schema}
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, left, ids, right in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "ids", "names")), strict=True):
+                found = list(best_matches(left, right))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block] * len(found), pa.string()),
+                        pa.array([left[i] for i, _, _ in found], pa.string()),
+                        pa.array([ids[j] for _, j, _ in found], batch.schema.field("ids").type.value_type),
+                        pa.array([right[j] for _, j, _ in found], pa.string()),
+                        pa.array([s for _, _, s in found], pa.float64()),
+                    ],
+                    names=["block", "key", "id", "other", "score"],
+                )
+
+    # a fixed number of partitions: the rows are few and small, the work in each is not
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = pairs.select("block", "keys", "ids", "names").repartition(parts)
+    scored = columns.mapInArrow(search, f"block string, key string, id {kinds['id']}, other string, score double")
+    best = F.min_by(F.struct("id", "other", "score"), F.struct(-F.col("score"), F.col("id"))).alias("m")
+    return scored.groupBy("block", "key").agg(best).select("block", "key", "m.*")
+
+
 def fuzzy_best_match(
     incoming: DataFrame,
     stored: DataFrame,
@@ -224,11 +282,10 @@ def fuzzy_best_match(
     key: str = "canonical_key",
     row: str = "arrival",
 ) -> DataFrame:
-    """Best stored row of the incoming row's block: ``match_id, match_key, score``.
+    """Best stored row of the incoming row's block, whatever it scores: ``match_id, match_key, score``.
 
-    Equal scores go to the smallest stored id. Only matches at or above the floor are
-    searched for; ``below_floor`` tells a block whose candidates all score less (true, and
-    the match is NULL) from a block without candidates (false).
+    Equal scores go to the smallest stored id; without a candidate all three are NULL.
+    ``below_floor`` marks matches under ``floor``, which resolution takes for no match.
     """
     fresh = incoming.select(F.col(block).alias("block"), F.col(key).alias("key")).distinct()
     have = (
@@ -236,24 +293,12 @@ def fuzzy_best_match(
         .groupBy(F.col(block).alias("block"), F.col(key).alias("key"))
         .agg(F.min("id").alias("id"))
     )
-    pairs = mirrored(similar_keys(fresh_keys(fresh, have), floor=floor))
-    equal = have.select("block", "key", F.col("key").alias("other"), F.lit(100.0).alias("score"))
-    options = pairs.unionByName(equal).join(
-        have.select("block", F.col("key").alias("other"), "id"), ["block", "other"]
-    )
-    best = options.groupBy("block", "key").agg(
-        F.min_by(F.struct("id", "other", "score"), F.struct(-F.col("score"), F.col("id"))).alias("m")
-    )
-    blocks = have.select("block").distinct().withColumn("known", F.lit(True))
-    joined = incoming.select(row, F.col(block).alias("block"), F.col(key).alias("key")).join(
-        own_exchange(best), ["block", "key"], "left"
-    ).join(own_exchange(blocks), "block", "left")
+    best = best_of_block(fresh, have)
+    joined = incoming.select(row, F.col(block).alias("block"), F.col(key).alias("key")).join(own_exchange(best), ["block", "key"], "left")
     return joined.select(
         row,
-        F.col("m.id").alias("match_id"),
-        F.col("m.other").alias("match_key"),
-        F.col("m.score").alias("score"),
-        (F.col("m").isNull() & F.coalesce("known", F.lit(False))).alias("below_floor"),
+        F.col("id").alias("match_id"),
+        F.col("other").alias("match_key"),
+        "score",
+        F.coalesce(F.col("score") < F.lit(floor), F.lit(False)).alias("below_floor"),
     )
-
-

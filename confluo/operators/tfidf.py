@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from confluo import defaults as D
 from confluo.functions.labels import let
 from confluo.operators.ordering import rank_position
-from confluo.session import materialize, own_exchange
+from confluo.session import materialize, own_exchange, spread
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def _runs(grams: Column) -> Column:
             ),
         )
 
-    return let({"a": F.array_sort(grams)}, counted)
+    return let({"a": F.sort_array(grams)}, counted)
 
 
 def term_counts(
@@ -80,7 +80,7 @@ def term_counts(
     """``(key, term, tf)``, one row per document row and distinct n-gram; ``form`` maps the
     n-grams before they are counted."""
     grams = ngrams(tokens(F.col(text), pattern=pattern))
-    return docs.select(F.col(key), F.inline(_runs(F.transform(grams, form) if form else grams)))
+    return spread(docs.select(F.col(key), F.col(text))).select(F.col(key), F.inline(_runs(F.transform(grams, form) if form else grams)))
 
 
 def _query_counts(docs: DataFrame, query: str, *, pattern: str) -> DataFrame:
@@ -167,21 +167,23 @@ def cosine_to_query(
     postings = materialize(
         term_counts(docs, key=key, text=text, pattern=pattern, form=lambda g: F.xxhash64(g)).withColumnRenamed("term", "h"), "postings"
     )
-    asked = _query_counts(docs, query, pattern=pattern).select(F.xxhash64("term").alias("h"), F.col("tf").alias("asked"))
+    # the words of the query
+    asked = {r.h: r.tf for r in _query_counts(docs, query, pattern=pattern).select(F.xxhash64("term").alias("h"), "tf").collect()}
     if max_features is None:
-        n_docs = docs.count() + 1
-        df = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).join(asked, "h", "full_outer")
-        df = df.withColumn("df", F.coalesce("df", F.lit(0)) + F.col("asked").isNotNull().cast("int"))
-        terms = df.select("h", _idf(n_docs, F.col("df")).alias("idf"), "asked")
+        df = F.col("df") + F.col("h").isin(list(asked)).cast("int")
+        terms = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).select("h", _idf(docs.count() + 1, df).alias("idf"))
     else:
         kept = fit_vocabulary(docs, query, text=text, max_features=max_features, pattern=pattern).terms
-        terms = kept.select(F.xxhash64("term").alias("h"), "idf").join(asked, "h", "left")
+        terms = kept.select(F.xxhash64("term").alias("h"), "idf")
     terms = materialize(terms, "term-weights")
-    # the words of the query
-    length = math.sqrt(sum((r.asked * r.idf) ** 2 for r in terms.filter("asked is not null").collect()))
+    known = {r.h: r.idf for r in terms.filter(F.col("h").isin(list(asked))).collect()}
+    if max_features is None:  # words that only the query has
+        known |= dict.fromkeys(asked.keys() - known.keys(), math.log((2.0 + docs.count()) / 2.0) + 1.0)
+    weights = {h: asked[h] * idf for h, idf in known.items()}
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    wanted = docs.sparkSession.createDataFrame([(h, w / length) for h, w in weights.items()], "h long, wq double")
     w = F.col("tf") * F.col("idf")
-    per_doc = postings.join(own_exchange(terms), "h").groupBy(key).agg(
-        F.sqrt(F.sum(w * w)).alias("norm"), F.coalesce(F.sum(w * F.col("asked") * F.col("idf")), F.lit(0.0)).alias("dot")
+    per_doc = postings.join(own_exchange(terms.join(wanted, "h", "left")).hint("shuffle_hash"), "h").groupBy(key).agg(
+        F.sqrt(F.sum(w * w)).alias("norm"), F.coalesce(F.sum(w * F.col("wq")), F.lit(0.0)).alias("dot")
     )
-    cosine = F.col("dot") / F.col("norm") / F.lit(length) if length else F.lit(0.0)
-    return per_doc.select(key, cosine.alias("cosine"))
+    return per_doc.select(key, (F.col("dot") / F.col("norm")).alias("cosine"))

@@ -16,7 +16,7 @@ from confluo.operators.dedup import dedup_prefer_source
 from confluo.operators.joins import join_url_hash
 from confluo.operators.ordering import rank_position, topk_ranked
 from confluo.operators.tfidf import cosine_to_query
-from confluo.session import materialize
+from confluo.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,11 @@ def relevance_filter(jobs: DataFrame, *, profile: Profile = Profile()) -> DataFr
         accept=profile.accept, reject=profile.reject, exclude=profile.exclude,
         include=profile.include, titles=profile.titles, geo_chars=profile.geo_chars,
     )
-    # written once: the gates read whole descriptions, and de-duplication reads its input twice
-    return dedup_prefer_source(materialize(jobs.filter(keep), "relevant"))
+    # Written once: the gates read whole descriptions, and de-duplication reads its input twice.
+    # The row number keeps the optimizer from testing the gates before the rows are dealt out.
+    gated = spread(jobs).select("*", keep.alias("__keep"), F.monotonically_increasing_id().alias("__row"))
+    passed = materialize(gated.filter("__keep").drop("__keep"), "relevant")
+    return dedup_prefer_source(passed.drop("__row"))
 
 
 def rank_relevant(

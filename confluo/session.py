@@ -80,6 +80,20 @@ def own_exchange(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where a scan has fewer splits than there are cores.
+
+    For costly work on each row of a few large files or row groups, which one task would do
+    alone. A table with a split per core, as any large one has, is read as it is, and so is
+    what comes out of an exchange.
+    """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if execution.toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -6,11 +6,14 @@ import itertools
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from confluo.functions.similarity import score_at_least, wratio, wratio_text
+from confluo.functions.bounds import Profiles, best_matches, upper_bounds
+from confluo.functions.similarity import Prepared, score_at_least, wratio, wratio_above, wratio_text
 from confluo.operators import resolve as R
-from confluo.operators.similar import fuzzy_best_match, similar_keys
+from confluo.operators.similar import best_of_block, fuzzy_best_match, similar_keys
 
 INCOMING = "arrival bigint, source string, source_id string, url string, title string, company string, location string"
 STORED = "id bigint, url string, company_normalized string, canonical_key string"
@@ -82,7 +85,49 @@ def test_fuzzy_best_match(spark):
         "arrival bigint, company_normalized string, canonical_key string",
     )
     got = {r.arrival: (r.match_id, r.score) for r in fuzzy_best_match(fresh, stored).collect()}
-    assert got == {1: (2, 100.0), 2: (None, None), 3: (None, None)}
+    low = wratio_text("nurse|acme|oslo", "product manager|acme|remote")
+    assert got == {1: (2, 100.0), 2: (1, pytest.approx(low)), 3: (None, None)}
+
+
+KEYS = st.text(alphabet="abc |", max_size=14)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(KEYS, min_size=1, max_size=12), st.lists(KEYS, min_size=1, max_size=12))
+def test_bounds_hold_and_the_search_is_exact(keys, names):
+    a, b = [Prepared.of(k) for k in keys], [Prepared.of(n) for n in names]
+    alphabet = {c: i for i, c in enumerate("abc |")}
+    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(k.set for k in (*a, *b)))))}
+    bounds = upper_bounds(Profiles(a, alphabet, vocabulary), Profiles(b, alphabet, vocabulary), slice(0, len(a)))
+    scores = [[wratio_text(k, n) for n in names] for k in keys]
+    for i, row in enumerate(scores):
+        for j, score in enumerate(row):
+            assert score <= bounds[i, j] + 1e-9
+            for floor in (0.0, score, score + 1e-9, 60.0, 90.0, 96.0):
+                got = wratio_above(a[i], b[j], floor)
+                assert got == score if score >= floor else got < floor
+    assert list(best_matches(keys, names, tile=5)) == [(i, row.index(max(row)), max(row)) for i, row in enumerate(scores)]
+
+
+def test_best_match_at_any_score_equals_brute_force(spark):
+    draw = random.Random(4)
+    words = [f"{a}{b}" for a in ("sale", "engin", "data", "oper", "desk") for b in ("s", "er", "eer", "ing", "lead")]
+    keys = {("hot" if draw.random() < 0.5 else draw.choice("xyz"), f"{' '.join(draw.choices(words, k=draw.randrange(1, 6)))}|{draw.choice(words)}") for _ in range(700)}
+    keys = sorted(keys) + [("x", ""), ("y", " "), ("x", "z" * 200)]
+    stored = [(i, b, k) for i, (b, k) in enumerate(keys) if i % 2]
+    fresh = [(i, b, k) for i, (b, k) in enumerate(keys) if i % 3 == 0] + [(9000, "none", "x"), (9001, None, "x"), (9002, "x", None)]
+    want = {}
+    for i, b, k in fresh:
+        options = [(-wratio_text(k, n), j, n) for j, c, n in stored if c == b] if k is not None else []
+        want[i] = (min(options)[1], min(options)[2], -min(options)[0]) if options else (None, None, None)
+    schema = "long, company_normalized string, canonical_key string"
+    for page in (512, 20):
+        names = spark.createDataFrame(stored, f"id {schema}").selectExpr("id", "company_normalized AS block", "canonical_key AS key")
+        asked = spark.createDataFrame(fresh, f"arrival {schema}").selectExpr("company_normalized AS block", "canonical_key AS key").distinct()
+        got = {(r.block, r.key): (r.id, r.other, r.score) for r in best_of_block(asked, names, page=page).collect()}
+        assert got == {(b, k): want[i] for i, b, k in fresh if want[i][0] is not None}
+    rows = fuzzy_best_match(spark.createDataFrame(fresh, f"arrival {schema}"), spark.createDataFrame(stored, f"id {schema}")).collect()
+    assert {r.arrival: (r.match_id, r.match_key, r.score) for r in rows} == want
 
 
 def _sequential(incoming, stored, sources, ids):
@@ -212,4 +257,4 @@ def test_stored_pairs_are_left_out_and_low_matches_marked(spark):
     stored = spark.createDataFrame([(1, "c", "senior engineers|c|x"), (2, "d", "painter|d|y")], "id long, company_normalized string, canonical_key string")
     rows = [(0, "c", "senior engineer|c|x"), (1, "d", "zoo keeper|d|q"), (2, "e", "zoo keeper|e|q")]
     best = fuzzy_best_match(spark.createDataFrame(rows, "arrival long, company_normalized string, canonical_key string"), stored)
-    assert {(r.arrival, r.match_id, r.below_floor) for r in best.collect()} == {(0, 1, False), (1, None, True), (2, None, False)}
+    assert {(r.arrival, r.match_id, r.below_floor) for r in best.collect()} == {(0, 1, False), (1, 2, True), (2, None, False)}

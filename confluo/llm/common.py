@@ -45,16 +45,19 @@ def let(value: Column, body) -> Column:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Hand Python at most ``rows`` rows at a time in what is run inside: rows with whole texts,
-    or with many, would else come ten thousand at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_batches(spark: SparkSession, rows: int, size: int = 4 << 20) -> Iterator[None]:
+    """Hand Python at most ``rows`` rows, and about ``size`` bytes, at a time in what is run inside:
+    rows with whole texts, or with many, would else come ten thousand or 64 MB at once."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, most in limits.items():
+        now = int(before[key].rstrip("b"))
+        spark.conf.set(key, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def numbered(rows: DataFrame, label: str, column: str) -> DataFrame:

@@ -46,8 +46,8 @@ SMALL = 16
 FEW = 512
 PHASES = 8
 MIDDLE = 16  # coordinates that a large node's middle is made of
-CHUNK = 128  # sets of a node in one row, when outsiders are compared with it
-KEPT_BYTES = 16 << 20  # sets that a task keeps while it confirms pairs
+CHUNK = 64  # sets of a node in one row, when outsiders are compared with it
+KEPT_BYTES = 8 << 20  # sets that a task keeps while it confirms pairs
 _CHUNK = 1 << 20
 
 

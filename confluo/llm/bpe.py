@@ -27,7 +27,7 @@ from confluo.llm.common import whole_text
 from confluo.llm.tokens import encoder, vocabulary_path
 from confluo.session import materialize
 
-BLOCK_CHARS = 14_000_000
+BLOCK_CHARS = 8_000_000
 _SHIFT = 1 << 25  # places of a block; a block has fewer words than code points
 _RUN = 100_000  # slots of one word in a row at most
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from confluo import defaults as D
+from confluo.checks.fuzzy import best_match_sql
 from confluo.checks.registry import query, table
 from confluo.checks.scalars import REFERENCE_SQL, canonical_key_sql, norm_company_sql, norm_url_sql, reference
 from confluo.checks.views import (
@@ -79,10 +81,21 @@ def _join_block_candidates(spark, sf):
     return found.select("id", "n_candidates", "first_candidate_id", "last_candidate_id")
 
 
-@query("fuzzy_best_match")
+_FUZZY_SQL = (
+    f"{POSTINGS}, {_KEYED_SQL}, names AS (SELECT company_normalized AS block, canonical_key AS b, min(id) AS id FROM k WHERE id % 2 = 0 GROUP BY ALL), "
+    "pairs AS (SELECT DISTINCT n.block, i.canonical_key AS a, n.id, n.b FROM k i JOIN names n ON n.block = i.company_normalized WHERE i.id % 2 = 1)"
+)
+
+
+@query(
+    "fuzzy_best_match",
+    f"WITH {_FUZZY_SQL}, {best_match_sql('pairs')} SELECT k.id AS arrival, best.id AS match_id, best.b AS match_key, round(best.score, 6) AS score, "
+    f"coalesce(best.score < {D.REVIEW_AT}, false) AS below_floor FROM k LEFT JOIN best ON best.block = k.company_normalized AND best.a = k.canonical_key WHERE k.id % 2 = 1",
+)
 def _fuzzy_best_match(spark, sf):
     rows = _keyed(spark, sf)
-    return best_match(rows.filter(c("id") % 2 == 1), rows.filter(c("id") % 2 == 0))
+    found = best_match(rows.filter(c("id") % 2 == 1), rows.filter(c("id") % 2 == 0))
+    return found.withColumn("score", F.round("score", 6))
 
 
 _CLOSED_SQL = (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from confluo import defaults as D
+from confluo.checks.fuzzy import resolve_sql
 from confluo.checks.joins import NOW_TEXT, now
 from confluo.checks.registry import query, table
 from confluo.checks.scalars import canonical_key_sql, norm_company_sql
-from confluo.checks.views import OBSERVATIONS, observations, postings
+from confluo.checks.views import OBSERVATIONS, POSTINGS, observations, postings
 from confluo.functions import text as T
 from confluo.operators import resolve as R
 
@@ -46,15 +49,40 @@ def _stored(spark, sf):
     return jobs.join(first, "id"), sources.join(first.select(c("id").alias("job_id")), "job_id")
 
 
-@query("resolve_batch")
+_BATCH_SQL = (
+    f"{POSTINGS}, keyed AS (SELECT *, {canonical_key_sql('title', 'company', 'location')} AS key, {norm_company_sql('company')} AS block FROM postings), "
+    "fresh AS (SELECT arrival, source, block, key FROM keyed), old AS (SELECT block, key, min(id) AS id FROM keyed WHERE id % 3 = 0 GROUP BY ALL), "
+    "old_sources AS (SELECT k.id AS job_id, CASE WHEN k.id % 2 = 0 THEN 'legacy' ELSE k.source END AS source_name, "
+    "CASE WHEN k.id % 2 = 0 THEN 'untrusted' ELSE 'trusted' END AS source_trust FROM keyed k JOIN old ON old.id = k.id), "
+    f"{resolve_sql(D.DUPLICATE_AT, D.REVIEW_AT)}"
+)
+
+
+@query(
+    "resolve_batch",
+    f"WITH RECURSIVE {_BATCH_SQL} SELECT arrival, outcome, job_first, round(fuzzy_score, 6) AS fuzzy_score, trust_flipped, source_name, canonical_key, matched_canonical_key FROM resolved",
+)
 def _resolve_batch(spark, sf):
-    return R.resolve_outcomes(*_stored(spark, sf), _incoming(spark, sf))
+    found = R.resolve_outcomes(*_stored(spark, sf), _incoming(spark, sf))
+    first = F.min("arrival").over(Window.partitionBy("job_id"))  # names the job: ids are hashes
+    return found.select(
+        "arrival", "outcome", first.alias("job_first"), F.round("fuzzy_score", 6).alias("fuzzy_score"), "trust_flipped", "source_name", "canonical_key",
+        "matched_canonical_key",
+    )
 
 
-@query("review_events")
+@query(
+    "review_events",
+    f"WITH RECURSIVE {_BATCH_SQL} SELECT 'possible_duplicate' AS event_type, TIMESTAMP '{NOW_TEXT}' AS occurred_at, 'system' AS actor, round(fuzzy_score, 6) AS fuzzy_score, "
+    "canonical_key AS key_new, matched_canonical_key AS key_matched FROM resolved WHERE outcome = 'review_flagged'",
+)
 def _review_events(spark, sf):
     outcomes = R.resolve_outcomes(*_stored(spark, sf), _incoming(spark, sf))
-    return R.review_events(outcomes, now=now())
+    detail = lambda name: F.get_json_object("detail", f"$.{name}")
+    return R.review_events(outcomes, now=now()).select(
+        "event_type", "occurred_at", "actor", F.round(detail("fuzzy_score").cast("double"), 6).alias("fuzzy_score"),
+        detail("canonical_key_new").alias("key_new"), detail("canonical_key_matched").alias("key_matched"),
+    )
 
 
 # one posting per order line: the part is the job, its URL the part's, the supplier the source

@@ -7,10 +7,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
+from confluo.checks.fuzzy import resolve_sql
 from confluo.checks.registry import lit, mapped, query
-from confluo.checks.scalars import ladder_sql
+from confluo.checks.scalars import canonical_key_sql, ladder_sql, norm_company_sql
 from confluo.checks.views import (
-    COMMENTS, ISSUES, POLL_STATE, PUSHED, issues, poll_state, postings, pushed,
+    COMMENTS, ISSUES, POLL_STATE, POSTINGS, PUSHED, issues, poll_state, postings, pushed,
 )
 from confluo.operators import fold
 from confluo.operators.joins import join_json_key
@@ -134,14 +135,22 @@ def _poll_fold(spark, sf):
     return rows.select("job_id", "event_type", "occurred_at", "actor", kind)
 
 
-@query("stream_resolve")
+@query(
+    "stream_resolve",
+    f"WITH RECURSIVE {POSTINGS}, fresh AS (SELECT arrival, source, {norm_company_sql('company')} AS block, {canonical_key_sql('title', 'company', 'location')} AS key FROM postings), "
+    "old AS (SELECT 0::BIGINT AS id, '' AS block, '' AS key WHERE false), old_sources AS (SELECT 0::BIGINT AS job_id, '' AS source_name, '' AS source_trust WHERE false), "
+    f"{resolve_sql(D.DUPLICATE_AT, D.REVIEW_AT)} SELECT outcome, source_name, count(*) AS n FROM resolved GROUP BY ALL",
+)
 def _stream_resolve(spark, sf):
     """All postings as landed files, resolved in micro-batches of two files."""
     state, landed = scratch_path(spark, "resolve-state"), scratch_path(spark, "resolve-feed")
     rows = postings(spark, sf).select(
         "arrival", "source", F.lit(None).cast("string").alias("source_id"), "url", "title", "company", "location"
     )
-    rows.repartitionByRange(4, "arrival").write.json(landed)
+    # two landings, the earlier arrivals first: files are taken in the order they were written
+    middle = rows.agg(F.percentile_approx("arrival", 0.5)).first()[0]
+    for half in (c("arrival") <= middle, c("arrival") > middle):
+        rows.filter(half).repartition(2).write.mode("append").json(landed)
     schema = "arrival bigint, source string, source_id string, url string, title string, company string, location string"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).json(landed)
     run = jobs.stream_resolve(

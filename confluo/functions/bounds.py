@@ -92,15 +92,31 @@ def upper_bounds(a: Profiles, b: Profiles, rows: slice) -> np.ndarray:
     return np.where(shorter > 0, bound, 0.0)
 
 
+def _profiles(a: Sequence[Prepared], b: Sequence[Prepared]) -> tuple[Profiles, Profiles]:
+    alphabet = {c: i for i, c in enumerate(sorted(set("".join([k.text for k in (*a, *b)]))))}
+    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(k.set for k in (*a, *b)))))}
+    return Profiles(a, alphabet, vocabulary), Profiles(b, alphabet, vocabulary)
+
+
+def pairs_above(keys: Sequence[str], names: Sequence[str], floor: float, tile: int = TILE) -> Iterator[tuple[int, int, float]]:
+    """(key, name, score) as indexes: all pairs whose score reaches ``floor``."""
+    a, b = [Prepared.of(k) for k in keys], [Prepared.of(n) for n in names]
+    left, right = _profiles(a, b)
+    for start in range(0, len(a), tile):
+        bounds = upper_bounds(left, right, slice(start, start + tile))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(bounds >= floor - SLACK)), strict=True):
+            score = wratio_above(a[start + i], b[j], floor)
+            if score >= floor:
+                yield start + i, j, score
+
+
 def best_matches(keys: Sequence[str], names: Sequence[str], tile: int = TILE) -> Iterator[tuple[int, int, float]]:
     """(key, name, score) as indexes: the best name of each key, the first of equally good ones.
 
     Exact at any score. ``names`` must not be empty.
     """
     a, b = [Prepared.of(k) for k in keys], [Prepared.of(n) for n in names]
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join([*keys, *names]))))}
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(k.set for k in (*a, *b)))))}
-    left, right = Profiles(a, alphabet, vocabulary), Profiles(b, alphabet, vocabulary)
+    left, right = _profiles(a, b)
     for start in range(0, len(a), tile):
         bounds = upper_bounds(left, right, slice(start, start + tile))
         for i, bound in enumerate(bounds, start):

@@ -41,12 +41,23 @@ class Resolution:
 
 
 def with_keys(incoming: DataFrame) -> DataFrame:
-    """Adds the derived keys and the URL a row would be stored under."""
+    """Adds the derived keys and the URL a row would be stored under.
+
+    Normal forms are made once per distinct (title, company, location) and looked up.
+    """
     empty = F.lit("")
     url = F.coalesce(F.col("url"), empty)
+    texts = ["title", "company", "location"]
     key = canonical_key(F.col("title"), F.col("company"), F.col("location"))
+    forms = incoming.select(*texts).distinct().select(
+        *[F.col(c).alias(f"__{c}") for c in texts], key.alias("canonical_key"), norm_company(F.coalesce("company", empty)).alias("company_normalized")
+    )
+    same = F.lit(True)
+    for c in texts:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     return (
-        incoming.withColumns({"canonical_key": key, "company_normalized": norm_company(F.coalesce("company", empty))})
+        incoming.join(own_exchange(materialize(forms, "normal-forms")), same)
+        .drop(*[f"__{c}" for c in texts])
         .withColumn("stored_url", url_synth(url, F.col("source"), F.col("source_id"), F.col("canonical_key")))
         .withColumn("has_url", strip(url) != "")
         .withColumn("probe_url", F.when(F.col("has_url"), norm_url(url)).otherwise(F.col("stored_url")))

@@ -1,6 +1,7 @@
-"""Exact similarity join of keys within blocks, without comparing all pairs of a block.
+"""Exact similarity join of keys within blocks, without scoring all pairs of a block.
 
-For a floor above 90 a pair can only reach it through one of two routes, and each route has
+Blocks of few pairs are bounded page by page (``functions/bounds.py``); the rest is about
+large blocks. For a floor above 90 a pair can only reach it through one of two routes, and each route has
 an exact signature that becomes an equi-join:
 
 * **edit route** (plain, sorted-token and shared-token ratios). With ``δ = 1 − floor/100``
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from confluo import defaults as D
-from confluo.functions.bounds import best_matches
+from confluo.functions.bounds import best_matches, pairs_above
 from confluo.functions.labels import let
 from confluo.functions.similarity import LENGTH_FACTOR, TOKEN_SCALE, wratio_from
 from confluo.session import materialize, own_exchange
@@ -172,23 +173,8 @@ def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
 
 
-def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT) -> DataFrame:
-    """All pairs ``(block, key, other, score)`` with ``key < other`` and score ≥ floor.
-
-    Input: distinct ``(block, key)``; with a third column ``fresh``, pairs of two keys that are
-    not fresh are left out and never compared. ``floor`` must be above 90, below which the
-    scorer's window branch would have to compare texts of any length.
-    """
-    if not 90.0 < floor <= 100.0:
-        raise ValueError("floor must be in (90, 100]")
-    tokens = F.filter(F.split("key", r"\s+"), lambda w: w != "")
-    fresh = F.col("fresh") if "fresh" in keys.columns else F.lit(True)
-    base = materialize(
-        keys.filter(F.col("key") != "").select(
-            F.xxhash64("block", "key").alias("id"), "block", "key", fresh.alias("fresh"), tokens.alias("tokens")
-        ),
-        "keys",
-    )
+def _indexed_pairs(base: DataFrame, floor: float) -> DataFrame:
+    """Pairs of ``base(id, block, key, fresh, tokens)`` by the two routes, scored."""
     candidates = _edit_candidates(base, 1 - floor / 100)
     if floor <= 100 * TOKEN_SCALE:
         candidates = candidates.unionByName(_containment_candidates(base, 1 - floor / (100 * TOKEN_SCALE)))
@@ -204,6 +190,68 @@ def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT) -> DataFrame:
     return scored.filter(F.col("score") >= F.lit(floor)).distinct()
 
 
+def _paged_pairs(keys: DataFrame, floor: float, *, page: int) -> DataFrame:
+    """Pairs of ``keys(block, key, fresh)`` from pages that meet once, scored where bounds allow."""
+    pages = _pages(keys, ["fresh", "key"], page=page).select("block", "page", F.col("rows.key").alias("keys"), F.col("rows.fresh").alias("fresh"))
+    other = pages.select("block", F.col("page").alias("with"), F.col("keys").alias("names"), F.col("fresh").alias("new"))
+    met = pages.join(other, "block").filter("page <= with")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, one, two, left, fresh, right, new in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [
+                    (min(left[i], right[j]), max(left[i], right[j]), s)
+                    for i, j, s in pairs_above(left, right, floor)
+                    if (fresh[i] or new[j]) and (one != two or i < j)
+                ]
+                k, o, s = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(found), pa.string()), pa.array(k, pa.string()), pa.array(o, pa.string()), pa.array(s, pa.float64())],
+                    names=["block", "key", "other", "score"],
+                )
+
+    columns = met.select("block", "page", "with", "keys", "fresh", "names", "new").repartition(_parts(keys))
+    return columns.mapInArrow(compare, "block string, key string, other string, score double")
+
+
+def _parts(df: DataFrame) -> int:
+    """A fixed number of partitions, for few and small rows with much work in each."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Pairs of a block up to which its pages are compared; larger blocks go through the index.
+PAGED_PAIRS = 16_000_000
+
+
+def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT, paged: int = PAGED_PAIRS) -> DataFrame:
+    """All pairs ``(block, key, other, score)`` with ``key < other`` and score ≥ floor.
+
+    Input: distinct ``(block, key)``; with a third column ``fresh``, pairs of two keys that are
+    not fresh are left out and never scored. ``floor`` must be above 90, below which the
+    scorer's window branch would have to compare texts of any length.
+
+    A block of few pairs costs less to bound page by page than to index: there one pass of
+    matrix operations bounds all scores. Blocks of more than ``paged`` pairs, where that would
+    grow with the square, go through the index. Both are exact.
+    """
+    if not 90.0 < floor <= 100.0:
+        raise ValueError("floor must be in (90, 100]")
+    fresh = F.col("fresh") if "fresh" in keys.columns else F.lit(True)
+    rows = materialize(keys.filter("key <> '' AND block IS NOT NULL").select("block", "key", fresh.alias("fresh")), "keys")
+    pairs = F.count(F.lit(1)) * F.count_if("fresh")
+    sizes = materialize(rows.groupBy("block").agg(pairs.alias("pairs")), "block-pairs")
+    small = rows.join(own_exchange(sizes.filter(F.col("pairs").between(1, paged))), "block", "left_semi")
+    found = _paged_pairs(small, floor, page=PAGE)
+    large = sizes.filter(F.col("pairs") > paged)
+    if large.isEmpty():
+        return found
+    tokens = F.filter(F.split("key", r"\s+"), lambda w: w != "")
+    base = rows.join(own_exchange(large), "block", "left_semi").select(
+        F.xxhash64("block", "key").alias("id"), "block", "key", "fresh", tokens.alias("tokens")
+    )
+    return found.unionByName(_indexed_pairs(materialize(base, "indexed-keys"), floor))
+
+
 def fresh_keys(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Distinct ``(block, key, fresh)``: incoming keys, and stored ones of the same blocks."""
     same = stored.select("block", "key").join(incoming.select("block").distinct(), "block", "left_semi")
@@ -241,7 +289,6 @@ def best_of_block(keys: DataFrame, names: DataFrame, *, page: int = PAGE) -> Dat
     Within a pair of pages bounds of all scores come from a few matrix operations, and a key is
     scored from its highest bound down until no bound reaches the best score found.
     """
-    spark = keys.sparkSession
     stored = _pages(names.filter("key is not null and block is not null"), ["id", "key"], page=page)
     asked = _pages(keys.filter("key is not null and block is not null").select("block", "key"), ["key"], page=page)
     dealt = asked.select("block", F.col("rows.key").alias("keys")).join(own_exchange(stored.select("block", "pages").distinct()), "block")
@@ -265,9 +312,7 @@ def best_of_block(keys: DataFrame, names: DataFrame, *, page: int = PAGE) -> Dat
                     names=["block", "key", "id", "other", "score"],
                 )
 
-    # a fixed number of partitions: the rows are few and small, the work in each is not
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = pairs.select("block", "keys", "ids", "names").repartition(parts)
+    columns = pairs.select("block", "keys", "ids", "names").repartition(_parts(keys))
     scored = columns.mapInArrow(search, f"block string, key string, id {kinds['id']}, other string, score double")
     best = F.min_by(F.struct("id", "other", "score"), F.struct(-F.col("score"), F.col("id"))).alias("m")
     return scored.groupBy("block", "key").agg(best).select("block", "key", "m.*")

@@ -68,6 +68,8 @@ def test_similar_keys_is_exact(spark, floor):
                 want[(b1, min(a, b), max(a, b))] = score
     assert len(want) >= 3
     assert got == want
+    indexed = similar_keys(spark.createDataFrame(sorted(keys), "block string, key string"), floor=floor, paged=0)
+    assert {(r.block, r.key, r.other): r.score for r in indexed.collect()} == want
 
 
 def test_similar_keys_needs_high_floor(spark):
@@ -194,7 +196,7 @@ def test_resolution_equals_the_sequential_rule(spark, seed):
 
     incoming = spark.createDataFrame(rows(220), INCOMING)
     stored, sources, urls = [], [], set()
-    for i, r in enumerate(R.with_keys(spark.createDataFrame(rows(30), INCOMING)).collect()):
+    for i, r in enumerate(R.with_keys(spark.createDataFrame(rows(30), INCOMING)).orderBy("arrival").collect()):
         if r.stored_url not in urls:
             urls.add(r.stored_url)
             blank = rng.random() < 0.15

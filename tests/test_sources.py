@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -93,6 +94,34 @@ PAGE = """<html><script type="application/ld+json">[{"@type":"JobPosting","title
 <a href="/jobs/99-eng"><b>Remote</b> Eng</a> Foo Bar</html>"""
 
 
+def test_link_windows_are_those_of_the_whole_page(spark):
+    """Windows cut out of pieces equal windows cut out of the page, over piece and run edges."""
+    import re
+
+    text = "".join(f"é{'x' * (i % 700)}🎉 <a href=\"/jobs/{i}-r\">Role {i}</a> ACME Oslo{'<b>' * (i % 3)}" for i in range(600))
+    pattern = r'href="(/jobs/(\d+)-[^"]*)"'
+    got = spark.createDataFrame([(text,), ("",), ("no link",)], "html string").select(html_pages.link_windows(F.col("html"), pattern).alias("w")).collect()
+    want = [(m.group(0), text[max(0, m.start() - 50) : m.end() + 600]) for m in re.finditer(pattern, text)]
+    assert [(w.link, w.window) for w in got[0].w] == want and got[1].w == got[2].w == []
+
+
+def test_pages_with_many_links_take_time_in_proportion(spark):
+    def seconds(n):
+        page = spark.createDataFrame([("<p>" + "".join(f'<a href="/jobs/{i}-r">R</a> A B C ' for i in range(n)),)], "html string").selectExpr("1L AS page_id", "html")
+        start = time.time()
+        assert html_pages.src_html_link_cards(page).selectExpr("count(*)", "count(DISTINCT url)", "max(pos)").first()[:] == (n, n, n - 1)
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(100_000) < 60
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    spark.createDataFrame([(1, PAGE), (2, "x")], "page_id bigint, html string").write.parquet(str(tmp_path / "pages"))
+    plan = html_pages.src_html_first_nonempty(spark.read.parquet(str(tmp_path / "pages")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+
+
 def test_html(spark):
     plain = '<div><a href="/jobs/5-pm">Lead PM</a> <span>Beta</span> Oslo</div>'
     pages = spark.createDataFrame([(1, PAGE), (2, plain), (3, PAGE), (4, "")], "page_id bigint, html string")

@@ -11,7 +11,7 @@ from confluo.checks.fuzzy import resolve_sql
 from confluo.checks.registry import lit, mapped, query
 from confluo.checks.scalars import canonical_key_sql, ladder_sql, norm_company_sql
 from confluo.checks.views import (
-    COMMENTS, ISSUES, POLL_STATE, POSTINGS, PUSHED, issues, poll_state, postings, pushed,
+    COMMENTS, ISSUES, JOB_EVENTS, POLL_STATE, POSTINGS, PUSHED, issues, job_events, poll_state, postings, pushed,
 )
 from confluo.operators import fold
 from confluo.operators.joins import join_json_key
@@ -91,6 +91,19 @@ def _emit_once(spark, sf):
     return fold.emit_once(found, pushed(spark, sf)).select("job_id", "event_type", "kind", "pos")
 
 
+@query("stream_emit_once", f"WITH {JOB_EVENTS} SELECT DISTINCT job_id, event_type FROM job_events")
+def _stream_emit_once(spark, sf):
+    """All events as landed files, in micro-batches of two files; the horizon is longer than the log."""
+    landed, out = scratch_path(spark, "event-feed"), scratch_path(spark, "event-out")
+    rows = job_events(spark, sf).select("job_id", "event_type", c("occurred_at").cast("timestamp").alias("occurred_at"))
+    rows.repartitionByRange(4, "occurred_at").write.parquet(landed)
+    stream = spark.readStream.schema("job_id bigint, event_type string, occurred_at timestamp").option("maxFilesPerTrigger", 2).parquet(landed)
+    once = jobs.stream_emit_once(stream, within="3650 days")
+    run = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "event-checkpoint"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("job_id", "event_type")
+
+
 @query(
     "watermark_advance",
     f"WITH {ISSUES}, {POLL_STATE} SELECT feed_id, CASE WHEN feed_id IN (SELECT feed_id FROM issues WHERE feed_id <> '1') THEN TIMESTAMP '{NOW_TEXT}' ELSE last_polled_at END AS last_polled_at FROM "

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from confluo.operators import fold
+from confluo.operators import fold, joins
 from confluo.operators.aggregates import agg_outcomes
 from confluo.operators.dedup import latest_per_key, terminal_keys
 from confluo.schemas import EVENT_SCHEMA, ISSUE_SCHEMA
@@ -175,6 +175,77 @@ def test_stream_poll_fold_is_idempotent(spark, tmp_path):
     assert str(jobs.current_state(spark, state).collect()[0].last_polled_at) == "2024-02-02 00:00:00"
 
 
+def test_stream_emit_once_forgets_and_restarts(spark, tmp_path):
+    """State holds the pairs of the horizon only; a restart goes on without repeats."""
+    land, out = tmp_path / "land", str(tmp_path / "out")
+    land.mkdir()
+    stream = spark.readStream.schema("job_id bigint, event_type string, occurred_at timestamp").json(str(land))
+    sizes = []
+    for day in range(20):
+        lines = [json.dumps({"job_id": j, "event_type": "applied", "occurred_at": f"2024-01-{day + 1:02}T00:00:00Z"}) for j in range(day * 10, day * 10 + 15)]
+        (land / f"{day:02}.json").write_text("\n".join(lines) + "\n")
+        run = jobs.stream_emit_once(stream, within="2 days").writeStream.format("parquet").option("path", out)
+        run = run.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress))
+    # five jobs of each day come again on the next, within the horizon
+    assert sorted(r.job_id for r in spark.read.parquet(out).collect()) == list(range(205))
+    assert max(sizes) <= 5 * 15 and sizes[-1] <= sizes[8] + 15
+
+
+def test_poll_fold_looks_back_as_far_as_it_keeps(spark, tmp_path):
+    def run(keep, name):
+        state, land = str(tmp_path / name / "state"), tmp_path / name / "land"
+        land.mkdir(parents=True)
+        (land / "1.json").write_text(json.dumps(issue("A", "In Progress")) + "\n")
+        push = pushes(spark, "A").withColumns(
+            {"occurred_at": F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz"), "actor": F.lit("system"), "id": F.col("id").cast("string")}
+        )
+        push.select("job_id", "event_type", "occurred_at", "actor", "detail", "id").write.parquet(f"{state}/events/batch_id=-1")
+        stream = spark.readStream.schema(f"feed_id string, ord bigint, {ISSUE_SCHEMA}").json(str(land))
+        jobs.stream_poll_fold(
+            stream, state_path=state, checkpoint=str(tmp_path / name / "cp"), clock=lambda b: datetime(2024, 2, 1), keep=keep
+        ).awaitTermination()
+        return sorted(r.event_type for r in jobs.read_before(spark, f"{state}/events", jobs.EVENT_LOG).collect())
+
+    assert run(timedelta(days=60), "long") == run(None, "all") == ["applied", "pushed_to_linear"]
+    assert run(timedelta(days=7), "short") == ["pushed_to_linear"]
+
+
+def test_first_push_counts_numbers_as_numbers(spark):
+    rows = [(1, "pushed_to_linear", '{"linear_issue_id":"A"}', "10"), (2, "pushed_to_linear", '{"linear_issue_id":"A"}', "9")]
+    events = spark.createDataFrame(rows, "job_id long, event_type string, detail string, id string")
+    issues_ = spark.createDataFrame([("A",)], "issue_id string")
+    order = F.struct(F.expr("try_cast(id AS decimal(38, 0))"), "id")
+    assert joins.join_json_key(issues_, events, issue_id="issue_id", order=order).first().job_id == 2
+
+
+def test_a_batch_meets_only_jobs_of_its_companies_and_urls(spark):
+    stored = [(1, "https://x/1", "acme", "a|acme|r"), (2, "https://x/2", "beta", "a|beta|r"), (3, "https://x/3", "gamma", None)]
+    table = spark.createDataFrame(stored, "id long, url string, company_normalized string, canonical_key string")
+    fresh = [(0, "s", None, "https://X/3/", "t", "Acme", "r"), (1, "s", "", "", "t", None, None)]
+    rows = spark.createDataFrame(fresh, "arrival bigint, source string, source_id string, url string, title string, company string, location string")
+    assert sorted(r.id for r in jobs.jobs_to_meet(table, rows).collect()) == [1, 3]
+
+
+def test_stream_resolve_keeps_what_is_sighted(spark, tmp_path):
+    """With a limit a batch knows the jobs sighted within its window, and no others."""
+    schema = "arrival bigint, source string, source_id string, url string, title string, company string, location string"
+    state, land = str(tmp_path / "state"), tmp_path / "land"
+    land.mkdir()
+    for n in range(6):
+        title = "Product Manager" if n in (0, 2, 5) else f"Role number {n}"
+        (land / f"{n}.json").write_text(json.dumps({"arrival": n, "source": f"s{n}", "url": f"https://x/{n}", "title": title, "company": "S", "location": "R"}) + "\n")
+        jobs.stream_resolve(
+            spark.readStream.schema(schema).json(str(land)), state_path=state, checkpoint=str(tmp_path / "cp"),
+            clock=lambda b: datetime(2024, 1, 1) + timedelta(days=b), keep=timedelta(days=2), fuzzy=False,
+        ).awaitTermination()
+    rows = spark.read.parquet(f"{state}/telemetry").select("source_name", "outcome").collect()
+    got = {r.source_name: r.outcome for r in rows}
+    # sighted on day 2, gone by day 5
+    assert got == {"s0": "new_job", "s1": "new_job", "s2": "new_source", "s3": "new_job", "s4": "new_job", "s5": "new_job"}
+
+
 def test_stream_resolve_equals_batches(spark, tmp_path):
     state, land = str(tmp_path / "state"), tmp_path / "land"
     land.mkdir()

@@ -117,12 +117,8 @@ def pieces(path: str) -> np.ndarray:
     return out
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """The distinct-word table (word, ids, slots) of (word, slot) rows: each word is encoded once.
-
-    ``ids`` are little-endian 32 bit. Rows of a word lie in one partition, sorted; a word with
-    very many slots takes several rows, so no task holds them all.
-    """
+def _encoded(path: str):
+    """The task body that turns sorted (word, slot) rows into (word, ids, slots)."""
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
@@ -143,7 +139,20 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
                 }
             )
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "word string, ids binary, slots array<long>")
+    return encode
+
+
+def _by_word(words: DataFrame) -> DataFrame:
+    return words.repartition("word").sortWithinPartitions("word")
+
+
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """The distinct-word table (word, ids, slots) of (word, slot) rows: each word is encoded once.
+
+    ``ids`` are little-endian 32 bit. Rows of a word lie in one partition, sorted; a word with
+    very many slots takes several rows, so no task holds them all.
+    """
+    return _by_word(words).mapInArrow(_encoded(path), "word string, ids binary, slots array<long>")
 
 
 def _by_block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +187,9 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, block_chars: i
     path = path or vocabulary_path()
     rows = _stable(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     words = rows.mapInArrow(_blocks(path, "words", block_chars), "word string, slot long")
-    filled = word_table(words, path).select("ids", "slots").mapInArrow(_by_block, "block long, n int, places binary, counts binary, total int, ids binary")
+    # The rows of the word table go to their blocks where they are made: one worker a task.
+    encode = _encoded(path)
+    filled = _by_word(words).mapInArrow(lambda parts: _by_block(encode(parts)), "block long, n int, places binary, counts binary, total int, ids binary")
     documents = rows.mapInArrow(_blocks(path, "documents", block_chars), "block long, doc_id long, n int, places binary")
 
     def put_together(held: pa.Table, known: pa.Table) -> pa.Table:

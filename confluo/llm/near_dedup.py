@@ -174,12 +174,16 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 @F.pandas_udf(DoubleType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+def _share(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal sketch bytes."""
     one, two = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), SKETCH) for x in (a, b))
     return pd.Series((one == two).mean(axis=1))
 
 
+#: Called so, a test of the share doesn't compute it once more, in a worker of its own.
+_alike = _share.asNondeterministic()
+
+
 def _near_pairs(ids: np.ndarray, sketches: np.ndarray, others: np.ndarray, theirs: np.ndarray, least: float) -> list[dict]:
     """Pairs of two lists of sets that look alike enough, smaller id first."""
     share = np.stack([(s == theirs).mean(axis=1) for s in sketches]) if len(ids) and len(others) else np.zeros((len(ids), len(others)))

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,14 +54,35 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_OPEN: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the scratch folder, deleted when the driver's JVM ends."""
+    """A fresh path under the scratch folder, deleted when the ``scratch_scope`` around it ends, or
+    else when the driver's JVM does."""
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     files, at = file_system(spark, path)
     files.deleteOnExit(at)
+    held = _OPEN.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what was written to scratch inside: for work whose results are written
+    to their own place by then, such as a micro-batch."""
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in paths:
+            drop_scratch(spark, path)
+
+
 def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

@@ -24,7 +24,7 @@ from confluo.operators.aggregates import agg_provenance_pairs
 from confluo.operators.fold import issue_rows, poll_fold
 from confluo.operators.resolve import apply_insert, resolve_outcomes, review_events, telemetry_records, with_keys
 from confluo.schemas import EVENT_SCHEMA, POLL_STATE_SCHEMA, STORED_JOB_SCHEMA, columns
-from confluo.session import materialize
+from confluo.session import materialize, scratch_scope
 
 Clock = Callable[[int], datetime]
 EVENT_LOG = f"{EVENT_SCHEMA}, id string"
@@ -179,5 +179,9 @@ def stream_resolve(
 def _start(
     stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool
 ) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint)
+    def once(batch: DataFrame, batch_id: int) -> None:
+        with scratch_scope(batch.sparkSession):  # a stream runs for months
+            body(batch, batch_id)
+
+    writer = stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

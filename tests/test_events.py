@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,6 +13,7 @@ from confluo.operators import fold, joins
 from confluo.operators.aggregates import agg_outcomes
 from confluo.operators.dedup import latest_per_key, terminal_keys
 from confluo.schemas import EVENT_SCHEMA, ISSUE_SCHEMA
+from confluo.session import scratch_root
 from confluo.sinks.writers import sink_events, sink_telemetry_daily
 from confluo.sources.lists import parse_window, src_telemetry_window
 from confluo.streaming import jobs
@@ -233,6 +235,7 @@ def test_stream_resolve_keeps_what_is_sighted(spark, tmp_path):
     schema = "arrival bigint, source string, source_id string, url string, title string, company string, location string"
     state, land = str(tmp_path / "state"), tmp_path / "land"
     land.mkdir()
+    before = set(os.listdir(scratch_root(spark)))
     for n in range(6):
         title = "Product Manager" if n in (0, 2, 5) else f"Role number {n}"
         (land / f"{n}.json").write_text(json.dumps({"arrival": n, "source": f"s{n}", "url": f"https://x/{n}", "title": title, "company": "S", "location": "R"}) + "\n")
@@ -240,6 +243,7 @@ def test_stream_resolve_keeps_what_is_sighted(spark, tmp_path):
             spark.readStream.schema(schema).json(str(land)), state_path=state, checkpoint=str(tmp_path / "cp"),
             clock=lambda b: datetime(2024, 1, 1) + timedelta(days=b), keep=timedelta(days=2), fuzzy=False,
         ).awaitTermination()
+    assert set(os.listdir(scratch_root(spark))) == before  # nothing stays behind in scratch
     rows = spark.read.parquet(f"{state}/telemetry").select("source_name", "outcome").collect()
     got = {r.source_name: r.outcome for r in rows}
     # sighted on day 2, gone by day 5

@@ -22,17 +22,28 @@ SLACK = 1e-9
 
 
 class Profiles:
-    """Lengths, character counts and token incidence of keys, over an alphabet and a vocabulary."""
+    """Lengths, character counts and token incidence of keys, over an alphabet and a vocabulary.
+
+    Of the vocabulary only words matter that keys of both sides have.
+    """
 
     def __init__(self, keys: Sequence[Prepared], alphabet: dict[str, int], vocabulary: dict[str, int]):
         n = len(keys)
-        self.chars, self.words, self.single = (np.zeros((len(alphabet), n), np.int32) for _ in range(3))
+        letters = np.array(sorted(map(ord, alphabet)), np.uint32)
+        rows = np.array([alphabet[chr(c)] for c in letters.tolist()], np.int64)
+
+        def counts(texts: list[str]) -> np.ndarray:
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+            owner = np.repeat(np.arange(n), [len(t) for t in texts])
+            found = np.bincount(rows[np.searchsorted(letters, codes)] * n + owner, minlength=len(alphabet) * n)
+            return found.reshape(len(alphabet), n).astype(np.int32)
+
+        self.chars, self.words, self.single = (
+            counts(t) for t in ([k.text for k in keys], ["".join(k.words) for k in keys], ["".join(k.set) for k in keys])
+        )
         self.tokens = np.zeros((n, len(vocabulary)), np.float32)
         for i, key in enumerate(keys):
-            for counts, text in ((self.chars, key.text), (self.words, "".join(key.words)), (self.single, "".join(key.set))):
-                for c in text:
-                    counts[alphabet[c], i] += 1
-            self.tokens[i, [vocabulary[w] for w in key.set]] = 1
+            self.tokens[i, [vocabulary[w] for w in key.set if w in vocabulary]] = 1
         self.lengths = np.array([len(w) for w in vocabulary], np.float32)
         self.size = np.array([len(k.text) for k in keys], np.int64)
         self.n_words = np.array([len(k.words) for k in keys], np.int64)
@@ -42,12 +53,17 @@ class Profiles:
 
 
 def _common(a: np.ndarray, b: np.ndarray, rows: slice) -> np.ndarray:
-    """(rows, b) characters that two texts share, repeats counted."""
-    total = np.zeros((a[:, rows].shape[1], b.shape[1]), np.int64)
-    for x, y in zip(a, b, strict=True):
-        if x[rows].any() and y.any():
-            total += np.minimum(x[rows, None], y[None, :])
-    return total
+    """(rows, b) characters that two texts share, repeats counted.
+
+    A count becomes a row of ones up to it, so that the sum of minima is one matrix product. Its
+    numbers are small integers, exact in single precision.
+    """
+    some = a[:, rows]
+    most = np.minimum(some.max(axis=1, initial=0), b.max(axis=1, initial=0))
+    row = np.repeat(np.arange(len(most)), most)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(most) - most, most)
+    left, right = (x[row] > step[:, None] for x in (some, b))
+    return np.rint(left.T.astype(np.float32) @ right.astype(np.float32)).astype(np.int32)
 
 
 def _window(common: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -63,8 +79,8 @@ def upper_bounds(a: Profiles, b: Profiles, rows: slice) -> np.ndarray:
     blanks = np.maximum(np.minimum(a.n_words[rows, None], b.n_words[None, :]) - 1, 0)
     words = _common(a.words, b.words, rows) + blanks
     single = _common(a.single, b.single, rows)
-    shared_n = np.rint(a.tokens[rows] @ b.tokens.T).astype(np.int64)
-    shared_len = np.rint((a.tokens[rows] * a.lengths) @ b.tokens.T).astype(np.int64)
+    shared_n = np.rint(a.tokens[rows] @ b.tokens.T).astype(np.int32)
+    shared_len = np.rint((a.tokens[rows] * a.lengths) @ b.tokens.T).astype(np.int32)
     shared = shared_n > 0
 
     best = 200.0 * common / np.maximum(la + lb, 1)
@@ -94,7 +110,8 @@ def upper_bounds(a: Profiles, b: Profiles, rows: slice) -> np.ndarray:
 
 def _profiles(a: Sequence[Prepared], b: Sequence[Prepared]) -> tuple[Profiles, Profiles]:
     alphabet = {c: i for i, c in enumerate(sorted(set("".join([k.text for k in (*a, *b)]))))}
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*(k.set for k in (*a, *b)))))}
+    shared = set().union(*(k.set for k in a)) & set().union(*(k.set for k in b))
+    vocabulary = {w: i for i, w in enumerate(sorted(shared))}
     return Profiles(a, alphabet, vocabulary), Profiles(b, alphabet, vocabulary)
 
 

@@ -1,7 +1,8 @@
 """Exact similarity join of keys within blocks, without scoring all pairs of a block.
 
-Blocks of few pairs are bounded page by page (``functions/bounds.py``); the rest is about
-large blocks. For a floor above 90 a pair can only reach it through one of two routes, and each route has
+Blocks of few pairs are bounded page by page (``functions/bounds.py``), and so are large ones
+where an index would make about as many rows as there are pairs; the rest is about other large
+blocks. For a floor above 90 a pair can only reach it through one of two routes, and each route has
 an exact signature that becomes an equi-join:
 
 * **edit route** (plain, sorted-token and shared-token ratios). With ``δ = 1 − floor/100``
@@ -81,9 +82,10 @@ def _grams(words: Column, block: Column) -> Column:
 _SHARED = 4
 
 
-def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
-    """Candidate ``(id, other)``. Texts, grams and join keys travel as 64-bit hashes: a
-    collision can only add a candidate, which the scorer then rejects."""
+def _edit_prefixes(keys: DataFrame, delta: float) -> DataFrame:
+    """``(id, block, fresh, v, n, b, need, h)``: the rarest grams of each key. Texts, grams and
+    join keys travel as 64-bit hashes: a collision can only add a candidate, which the scorer
+    then rejects."""
     tokens = F.col("tokens")
     plain = F.struct(F.lit(0).alias("v"), tokens.alias("w"))
     single = F.struct(F.lit(1).alias("v"), F.array_distinct(tokens).alias("w"))
@@ -103,7 +105,7 @@ def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
     # texts within the edit bound differ in length by at most this factor
     step = math.log((1 + delta) / (1 - delta)) * (1 + 1e-9)
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int").alias("b")
-    prefix = materialize(
+    return materialize(
         grams.join(counts, "g")
         .groupBy("id", "block", "fresh", "v", "n")
         .agg(F.array_sort(F.collect_list(F.struct("last", "c", "g", "o"))).alias("rs"))
@@ -112,22 +114,32 @@ def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
             F.explode(F.slice("rs", F.lit(1), (missing + _SHARED).cast("int"))).alias("r"),
         )
         .select(
-            "id", "fresh", "v", "n", "b",
+            "id", "block", "fresh", "v", "n", "b",
             # a short prefix cannot be asked for the full number of shared grams
             F.least(F.lit(_SHARED), F.greatest(F.col("total") - F.col("missing"), F.lit(1))).cast("int").alias("need"),
             F.xxhash64("block", "r.g", "r.o").alias("h"),
         ),
         "prefix",
     )
-    left = prefix.filter("fresh").select("id", "v", "n", "need", F.xxhash64("h", "b").alias("h"))
+
+
+def _edit_sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides that meet by ``h``: fresh keys, and all keys of a length bucket beside theirs."""
+    left = prefix.filter("fresh").select("id", "block", "v", "n", "need", F.xxhash64("h", "b").alias("h"))
     right = prefix.select(
-        F.col("id").alias("other"), F.col("fresh").alias("both"), F.col("v").alias("u"), F.col("n").alias("m"), F.col("need").alias("want"),
+        F.col("id").alias("other"), F.col("block").alias("at"), F.col("fresh").alias("both"), F.col("v").alias("u"), F.col("n").alias("m"), F.col("need").alias("want"),
         F.explode(
             F.array(*[F.xxhash64("h", (F.col("b") + k).cast("int")) for k in (-1, 0, 1)])
         ).alias("h"),
     )
+    return left, right
+
+
+def _edit_candidates(prefix: DataFrame, delta: float) -> DataFrame:
+    """Candidate ``(id, other)``."""
+    left, right = _edit_sides(prefix)
     close = F.abs(F.col("n") - F.col("m")) <= F.lit(delta) * (F.col("n") + F.col("m")) + F.lit(1e-9)
-    pairs = left.join(right, "h").filter(((F.col("id") < F.col("other")) | (~F.col("both") & (F.col("id") != F.col("other")))) & close)
+    pairs = left.drop("block").join(right.drop("at"), "h").filter(((F.col("id") < F.col("other")) | (~F.col("both") & (F.col("id") != F.col("other")))) & close)
     shared = pairs.groupBy("id", "other", "v", "u").agg(
         F.count(F.lit(1)).alias("k"), F.min(F.least("need", "want")).alias("need")
     )
@@ -136,8 +148,8 @@ def _edit_candidates(keys: DataFrame, delta: float) -> DataFrame:
     )
 
 
-def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
-    """Candidate ``(id, other)`` whose tokens all but contain one another."""
+def _containment_sides(keys: DataFrame, tau: float) -> tuple[DataFrame, DataFrame]:
+    """The two sides that meet by ``h``: the rarest tokens of each key, and all tokens of all keys."""
     words = keys.select(
         "id", "block", "fresh", F.char_length("key").alias("n"), F.array_distinct("tokens").alias("ws")
     ).withColumn("d", F.char_length(F.array_join("ws", " ")))
@@ -155,12 +167,18 @@ def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("rs"))
         .join(words, "id")
-        .select("id", "fresh", "n", "ws", "d", F.explode(F.slice("rs", F.lit(1), (allowed + 1).cast("int"))).alias("r"))
-        .select("id", "fresh", "n", "ws", "d", F.col("r.h").alias("h"))
+        .select("id", "block", "fresh", "n", "ws", "d", F.explode(F.slice("rs", F.lit(1), (allowed + 1).cast("int"))).alias("r"))
+        .select("id", "block", "fresh", "n", "ws", "d", F.col("r.h").alias("h"))
     )
     right = words.select(
         F.col("id").alias("other"), F.col("fresh").alias("both"), F.col("n").alias("m"), F.col("ws").alias("vs"), "block", F.explode("ws").alias("w")
-    ).select("other", "both", "m", "vs", F.xxhash64("block", "w").alias("h"))
+    ).select("other", F.col("block").alias("at"), "both", "m", "vs", F.xxhash64("block", "w").alias("h"))
+    return rare, right
+
+
+def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
+    """Candidate ``(id, other)`` whose tokens all but contain one another."""
+    rare, right = _containment_sides(keys, tau)
     rest = F.char_length(F.array_join(F.array_except("ws", "vs"), " "))
 
     def inside(v: Column) -> Column:
@@ -168,16 +186,36 @@ def _containment_candidates(keys: DataFrame, tau: float) -> DataFrame:
         return (v["rest"] == 0) | ((v["rest"] + 1) <= F.lit(tau) * (2 * shared + 1 + v["rest"]) + F.lit(1e-9))
 
     near = F.greatest("n", "m") < F.lit(LENGTH_FACTOR) * F.least("n", "m")
-    pairs = rare.join(right, "h").filter((F.col("fresh") | F.col("both")) & (F.col("id") != F.col("other")) & near)
+    pairs = rare.drop("block").join(right.drop("at"), "h").filter((F.col("fresh") | F.col("both")) & (F.col("id") != F.col("other")) & near)
     pairs = pairs.filter(let({"d": F.col("d"), "rest": rest}, inside))
     return pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
 
 
-def _indexed_pairs(base: DataFrame, floor: float) -> DataFrame:
+def _routes(floor: float) -> tuple[float, float | None]:
+    """Parts of a text in which the edit and the containment route may differ."""
+    return 1 - floor / 100, 1 - floor / (100 * TOKEN_SCALE) if floor <= 100 * TOKEN_SCALE else None
+
+
+def _meets(base: DataFrame, prefix: DataFrame, floor: float) -> DataFrame:
+    """``(block, meets)``: rows that the index's joins would make in each block."""
+    sides = [_edit_sides(prefix)]
+    tau = _routes(floor)[1]
+    if tau is not None:
+        sides.append(_containment_sides(base, tau))
+    found = None
+    for left, right in sides:
+        many = right.groupBy(F.col("at").alias("block"), "h").agg(F.count(F.lit(1)).alias("r"))
+        met = left.groupBy("block", "h").agg(F.count(F.lit(1)).alias("l")).join(many, ["block", "h"]).select("block", (F.col("l") * F.col("r")).alias("m"))
+        found = met if found is None else found.unionByName(met)
+    return found.groupBy("block").agg(F.sum("m").alias("meets"))
+
+
+def _indexed_pairs(base: DataFrame, prefix: DataFrame, floor: float) -> DataFrame:
     """Pairs of ``base(id, block, key, fresh, tokens)`` by the two routes, scored."""
-    candidates = _edit_candidates(base, 1 - floor / 100)
-    if floor <= 100 * TOKEN_SCALE:
-        candidates = candidates.unionByName(_containment_candidates(base, 1 - floor / (100 * TOKEN_SCALE)))
+    delta, tau = _routes(floor)
+    candidates = _edit_candidates(prefix, delta)
+    if tau is not None:
+        candidates = candidates.unionByName(_containment_candidates(base, tau))
     texts = base.select("id", "block", "key")
     paired = (
         candidates.distinct()
@@ -185,12 +223,13 @@ def _indexed_pairs(base: DataFrame, floor: float) -> DataFrame:
         .join(texts.select(F.col("id").alias("other"), F.col("block").alias("b2"), F.col("key").alias("k2")), "other")
         .filter((F.col("b1") == F.col("b2")) & (F.col("k1") != F.col("k2")))
         .select(F.col("b1").alias("block"), F.least("k1", "k2").alias("key"), F.greatest("k1", "k2").alias("other"))
+        .repartition(_parts(base), "key", "other")  # small rows, much work in each
     )
     scored = paired.withColumn("score", wratio_from(F.col("key"), F.col("other"), floor))
     return scored.filter(F.col("score") >= F.lit(floor)).distinct()
 
 
-def _paged_pairs(keys: DataFrame, floor: float, *, page: int) -> DataFrame:
+def _paged_pairs(keys: DataFrame, floor: float, *, page: int, parts: int) -> DataFrame:
     """Pairs of ``keys(block, key, fresh)`` from pages that meet once, scored where bounds allow."""
     pages = _pages(keys, ["fresh", "key"], page=page).select("block", "page", F.col("rows.key").alias("keys"), F.col("rows.fresh").alias("fresh"))
     other = pages.select("block", F.col("page").alias("with"), F.col("keys").alias("names"), F.col("fresh").alias("new"))
@@ -210,7 +249,7 @@ def _paged_pairs(keys: DataFrame, floor: float, *, page: int) -> DataFrame:
                     names=["block", "key", "other", "score"],
                 )
 
-    columns = met.select("block", "page", "with", "keys", "fresh", "names", "new").repartition(_parts(keys))
+    columns = met.select("block", "page", "with", "keys", "fresh", "names", "new").repartition(parts)
     return columns.mapInArrow(compare, "block string, key string, other string, score double")
 
 
@@ -219,11 +258,15 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Pairs of a block up to which its pages are compared; larger blocks go through the index.
+#: Pairs of a block up to which its pages are compared without a look at the index.
 PAGED_PAIRS = 16_000_000
+#: Pairs that are bounded page by page in the time of one row of the index's joins.
+PAIRS_A_MEET = 8
+#: Pairs that one task bounds.
+TASK_PAIRS = 100_000_000
 
 
-def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT, paged: int = PAGED_PAIRS) -> DataFrame:
+def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT, paged: int = PAGED_PAIRS, dense: float = PAIRS_A_MEET) -> DataFrame:
     """All pairs ``(block, key, other, score)`` with ``key < other`` and score ≥ floor.
 
     Input: distinct ``(block, key)``; with a third column ``fresh``, pairs of two keys that are
@@ -231,25 +274,39 @@ def similar_keys(keys: DataFrame, *, floor: float = D.REVIEW_AT, paged: int = PA
     scorer's window branch would have to compare texts of any length.
 
     A block of few pairs costs less to bound page by page than to index: there one pass of
-    matrix operations bounds all scores. Blocks of more than ``paged`` pairs, where that would
-    grow with the square, go through the index. Both are exact.
+    matrix operations bounds all scores. In blocks of more than ``paged`` pairs the rows are
+    counted that the index's joins would make. Where keys are put together from few words, each
+    gram is frequent and these come near the pairs; the index is used where it makes less than
+    one row for ``dense`` pairs. Both ways are exact.
     """
     if not 90.0 < floor <= 100.0:
         raise ValueError("floor must be in (90, 100]")
     fresh = F.col("fresh") if "fresh" in keys.columns else F.lit(True)
     rows = materialize(keys.filter("key <> '' AND block IS NOT NULL").select("block", "key", fresh.alias("fresh")), "keys")
     pairs = F.count(F.lit(1)) * F.count_if("fresh")
-    sizes = materialize(rows.groupBy("block").agg(pairs.alias("pairs")), "block-pairs")
-    small = rows.join(own_exchange(sizes.filter(F.col("pairs").between(1, paged))), "block", "left_semi")
-    found = _paged_pairs(small, floor, page=PAGE)
+    sizes = materialize(rows.groupBy("block").agg(pairs.alias("pairs")).filter("pairs > 0"), "block-pairs")
+    by_page = sizes.filter(F.col("pairs") <= paged)
     large = sizes.filter(F.col("pairs") > paged)
-    if large.isEmpty():
-        return found
-    tokens = F.filter(F.split("key", r"\s+"), lambda w: w != "")
-    base = rows.join(own_exchange(large), "block", "left_semi").select(
-        F.xxhash64("block", "key").alias("id"), "block", "key", "fresh", tokens.alias("tokens")
-    )
-    return found.unionByName(_indexed_pairs(materialize(base, "indexed-keys"), floor))
+    found = None
+    if not large.isEmpty():
+        tokens = F.filter(F.split("key", r"\s+"), lambda w: w != "")
+        base = rows.join(own_exchange(large), "block", "left_semi").select(
+            F.xxhash64("block", "key").alias("id"), "block", "key", "fresh", tokens.alias("tokens")
+        )
+        base = materialize(base, "indexed-keys")
+        prefix = _edit_prefixes(base, _routes(floor)[0])
+        way = materialize(
+            large.join(_meets(base, prefix, floor), "block", "left").withColumn("crowded", F.coalesce(F.col("meets") * dense > F.col("pairs"), F.lit(False))), "ways"
+        )
+        by_page = by_page.unionByName(way.filter("crowded").select("block", "pairs"))
+        sparse = way.filter("not crowded").select("block")
+        if not sparse.isEmpty():
+            mine = own_exchange(sparse)
+            found = _indexed_pairs(base.join(mine, "block", "left_semi"), prefix.join(mine, "block", "left_semi"), floor)
+    few = rows.join(own_exchange(by_page.select("block")), "block", "left_semi")
+    total = by_page.agg(F.sum(F.col("pairs").cast("double"))).first()[0] or 0.0
+    paged_pairs = _paged_pairs(few, floor, page=PAGE, parts=max(_parts(keys), math.ceil(total / TASK_PAIRS)))
+    return paged_pairs if found is None else paged_pairs.unionByName(found)
 
 
 def fresh_keys(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -260,10 +317,9 @@ def fresh_keys(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
-    """Both directions of each pair."""
-    return pairs.unionByName(
-        pairs.select("block", F.col("other").alias("key"), F.col("key").alias("other"), "score")
-    )
+    """Both directions of each pair; the pairs are made once."""
+    ways = F.array(F.struct("block", "key", "other", "score"), F.struct("block", F.col("other").alias("key"), F.col("key").alias("other"), "score"))
+    return pairs.select(F.inline(ways))
 
 
 #: Keys of one page. Pages of a block meet pairwise; a page is one row.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from confluo.functions.bounds import Profiles, best_matches, upper_bounds
 from confluo.functions.similarity import Prepared, score_at_least, wratio, wratio_above, wratio_text
 from confluo.operators import resolve as R
+from confluo.operators import similar
 from confluo.operators.similar import best_of_block, fuzzy_best_match, similar_keys
 
 INCOMING = "arrival bigint, source string, source_id string, url string, title string, company string, location string"
@@ -72,6 +73,32 @@ def test_similar_keys_is_exact(spark, floor):
     assert {(r.block, r.key, r.other): r.score for r in indexed.collect()} == want
 
 
+def test_keys_of_few_words_are_not_indexed(spark, monkeypatch):
+    """Each gram of such keys is frequent, so the index would make more rows than there are pairs."""
+    names = [" ".join(p) for p in itertools.product(["red", "blue", "hot", "old"], ["ring", "bolt", "gear", "nut"], ["eng", "swe", ""], ["remote", "london"])]
+    few = spark.createDataFrame([("acme", n.strip()) for n in names], "block string, key string")
+    rng = random.Random(5)
+    many = {("z", " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(3))) for _ in range(300)}
+    many |= {("z", key + "s") for _, key in sorted(many)[:9]}
+    many = spark.createDataFrame(sorted(many), "block string, key string")
+    want = {(r.key, r.other, r.score) for r in similar_keys(few, floor=93.0).collect()}
+    assert {(r.key, r.other, r.score) for r in similar_keys(few, floor=93.0, paged=0, dense=0).collect()} == want
+    seen = []
+    indexed = similar._indexed_pairs
+    monkeypatch.setattr(similar, "_indexed_pairs", lambda base, *rest: seen.extend(r.block for r in base.select("block").distinct().collect()) or indexed(base, *rest))
+    got = similar_keys(few.unionByName(many), floor=93.0, paged=0).collect()
+    assert seen == ["z"]
+    assert {(r.key, r.other, r.score) for r in got if r.block == "acme"} == want
+    assert sum(r.block == "z" for r in got) == 9
+
+
+def test_pairs_are_made_once_for_both_directions(spark):
+    pairs = spark.createDataFrame([("b", "x", "y", 95.0)], "block string, key string, other string, score double")
+    both = similar.mirrored(pairs)
+    assert sorted(map(tuple, both.collect())) == [("b", "x", "y", 95.0), ("b", "y", "x", 95.0)]
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_similar_keys_needs_high_floor(spark):
     with pytest.raises(ValueError):
         similar_keys(spark.createDataFrame([("a", "b")], "block string, key string"), floor=80.0)

@@ -45,6 +45,14 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+class _Numbers(dict):
+    """Numbers of words in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def _blocks(path: str, want: str, block_chars: int):
     """The task body that gives the words of its blocks, or their documents.
 
@@ -55,7 +63,7 @@ def _blocks(path: str, want: str, block_chars: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = encoder(path).words
         block = TaskContext.get().partitionId() << 12
-        seen: dict[str, int] = {}
+        seen = _Numbers()
         docs: list[tuple[int | None, np.ndarray]] = []
         held = 0
 
@@ -88,8 +96,8 @@ def _blocks(path: str, want: str, block_chars: int):
                     seen.clear()
                     docs.clear()
                 held += len(text)
-                number = seen.setdefault
-                docs.append((name, np.array([number(w, len(seen)) for w in split(text)], np.uint32)))
+                words = split(text)
+                docs.append((name, np.fromiter(map(seen.__getitem__, words), np.uint32, len(words))))
         yield from close()
 
     return run
@@ -207,7 +215,7 @@ def encode_documents(docs: DataFrame, *, path: str | None = None, block_chars: i
         out = []
         for name, n, data in zip(held.column("doc_id").to_pylist(), held.column("n").to_pylist(), held.column("places"), strict=True):
             at = _unpacked(data.as_py(), n).tolist() if n else []
-            out.append((name, b"".join([ids[i] for i in at]), b" ".join([decoded[i] for i in at])))
+            out.append((name, b"".join(map(ids.__getitem__, at)), b" ".join(map(decoded.__getitem__, at))))
         d, i, t = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"doc_id": pa.array(d, pa.int64()), "ids": pa.array(i, pa.binary()), "decoded": pa.array(t, pa.binary())})
 

@@ -18,7 +18,14 @@ VOCABULARY = "word_bpe_49k.json"
 
 #: The file's split pattern, for texts of code points below 256 only, in lower case.
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa00-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
-_BEYOND = re.compile(r"[^\x00-\xff]")
+
+
+def _latin(text: str) -> bool:
+    """Whether all code points are below 256."""
+    try:
+        return text.isascii() or text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -60,7 +67,7 @@ class WordEncoder:
         return out
 
     def _plain(self, text: str) -> list[str]:
-        if not _BEYOND.search(text):
+        if _latin(text):
             return _LATIN.findall(text.lower())
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))
         real = self.real

@@ -1,28 +1,35 @@
 """TF-IDF weights and cosine similarity to one query text, in long form.
 
-Occurrences are counted inside the row: a document's n-grams are sorted and each run becomes
-one ``(term, tf)``, so neither texts nor occurrences are ever shuffled. Weights look each
-document's distinct terms up in the vocabulary. The cosine needs no term as such: terms
-travel as 64-bit hashes, written once as rows of three numbers, and a document's norm and dot
-product come out of one partial aggregate over them. (A collision of hashes would add the
-document frequencies of two terms.) Both sides of the look-up have an exchange of their own,
-so a term that most documents have is split over tasks.
+Documents are read once and cut into blocks (``term_blocks``). Blocks exchange their distinct
+terms, as 96-bit hashes, for document frequencies; weights, norms and dot products are then made
+in the block, so no text, term or posting is shuffled. (Two terms of equal hash would add their
+document frequencies; among a billion terms the odds of any such pair are 1 to 10¹¹.) The query is
+one more document of the corpus. The sums of documents that share a key are added up by key.
+
+A bounded vocabulary is fitted on occurrences counted inside the row: a document's n-grams are
+sorted and each run becomes one ``(term, tf)``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from confluo import defaults as D
 from confluo.functions.labels import let
+from confluo.operators import term_blocks
 from confluo.operators.ordering import rank_position
 from confluo.session import materialize, own_exchange, spread
 
+_ROWS = 1 << 16  # of an Arrow batch
+
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -129,12 +136,50 @@ def fit_vocabulary(
     return Vocabulary(materialize(stats.select("term", "df", _idf(n_docs, F.col("df")).alias("idf")), "vocabulary"), n_docs)
 
 
-def weighted_terms(
-    docs: DataFrame, vocabulary: Vocabulary, *, key: str = "id", text: str = "text", pattern: str = D.TOKEN_PATTERN
-) -> DataFrame:
-    """``(key, term, w)`` with ``w = tf · idf`` before normalisation, for the terms that are kept."""
-    counts = term_counts(docs, key=key, text=text, pattern=pattern)
-    return counts.join(own_exchange(vocabulary.terms.select("term", "idf")), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+@dataclass(frozen=True)
+class _Corpus:
+    """Blocks of documents, the query as one more document, and the frequencies each of them got."""
+
+    held: DataFrame
+    found: DataFrame
+    query: term_blocks.Terms
+    n_docs: int
+
+    def idf(self) -> Callable[[np.ndarray], np.ndarray]:
+        """idf by document frequency; 0 for terms that are not kept."""
+        n = self.n_docs
+        return lambda df: np.where(df > 0, np.log((1.0 + n) / (1.0 + df)) + 1.0, 0.0)
+
+
+def _corpus(docs: DataFrame, query: str, *, key: str, text: str, max_features: int | None, pattern: str) -> _Corpus:
+    rows = docs.select(F.col(key), F.col(text))
+    held = term_blocks.blocks(rows, tokens(F.col(text), pattern=pattern), key=key)
+    words = docs.sparkSession.range(1).select(tokens(F.lit(query), pattern=pattern)).first()[0]
+    asked = term_blocks.query_terms(words)
+    kept = None if max_features is None else fit_vocabulary(docs, query, text=text, max_features=max_features, pattern=pattern).terms
+    n_docs = held.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0] + 1
+    return _Corpus(held, materialize(term_blocks.frequencies(held, asked, kept=kept), "frequencies"), asked, n_docs)
+
+
+def _shared_norms(corpus: _Corpus, *, key: str) -> DataFrame | None:
+    """``(block, norms)``: for documents whose key others have too, place in the block and the norm
+    over all of them. None if keys are unique, as they mostly are."""
+    rows = corpus.held.select("block", F.posexplode("keys").alias("at", key)).filter(F.col(key).isNotNull())
+    shared = materialize(rows.join(own_exchange(rows.groupBy(key).count().filter("count > 1").select(key)), key), "shared-keys")
+    if shared.isEmpty():
+        return None
+    idf = corpus.idf()
+
+    def squares(block: pa.RecordBatch, terms: term_blocks.Terms, df: np.ndarray) -> Iterator[dict[str, pa.Array]]:
+        w = terms.tf * idf(df)[terms.number[terms.term]]
+        at, row = np.unique(terms.row, return_inverse=True)
+        yield {"block": pa.repeat(block.column("block")[0], len(at)), "at": pa.array(at), "squares": pa.array(np.bincount(row, w * w, len(at)))}
+
+    kind = StructType().add("block", LongType()).add("at", IntegerType()).add("squares", DoubleType())
+    some = corpus.held.join(shared.select("block").distinct(), "block", "left_semi")
+    parts = shared.join(term_blocks.per_block(some, corpus.found, squares, kind), ["block", "at"])
+    norms = parts.groupBy(key).agg(F.sqrt(F.sum("squares")).alias("norm"))
+    return shared.join(own_exchange(norms), key).groupBy("block").agg(F.collect_list(F.struct("at", "norm")).alias("norms"))
 
 
 def tfidf_weights(
@@ -146,11 +191,31 @@ def tfidf_weights(
     max_features: int | None = None,
     pattern: str = D.TOKEN_PATTERN,
 ) -> DataFrame:
-    """``(key, term, weight)``, L2-normalised over the kept terms of each document."""
-    vocabulary = fit_vocabulary(docs, query, text=text, max_features=max_features, pattern=pattern)
-    raw = materialize(weighted_terms(docs, vocabulary, key=key, text=text, pattern=pattern), "weighted-terms")
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(own_exchange(norms), key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """``(key, term, weight)``, L2-normalised over the kept terms of each key. Rows without a key
+    count as documents only."""
+    corpus = _corpus(docs, query, key=key, text=text, max_features=max_features, pattern=pattern)
+    idf, held = corpus.idf(), corpus.held
+    norms = _shared_norms(corpus, key=key)
+    shared = norms is not None
+    if shared:
+        held = held.join(norms, "block", "left")
+
+    def weights(block: pa.RecordBatch, terms: term_blocks.Terms, df: np.ndarray) -> Iterator[dict[str, pa.Array]]:
+        w = terms.tf * idf(df)[terms.number[terms.term]]
+        squares = np.bincount(terms.row, w * w, len(block.column("keys").flatten()))
+        norm = np.sqrt(squares)
+        if shared:
+            of = block.column("norms").flatten()
+            norm[of.field("at").to_numpy()] = of.field("norm").to_numpy()
+        keys, names = block.column("keys").flatten(), terms.names()
+        there = np.flatnonzero(w)
+        for i in range(0, len(there), _ROWS):
+            some = there[i : i + _ROWS]
+            row = terms.row[some]
+            yield {key: keys.take(pa.array(row)), "term": names.take(pa.array(terms.term[some])), "weight": pa.array(w[some] / norm[row])}
+
+    kind = StructType().add(key, docs.schema[key].dataType).add("term", StringType()).add("weight", DoubleType())
+    return term_blocks.per_block(held, corpus.found, weights, kind).filter(F.col(key).isNotNull())
 
 
 def cosine_to_query(

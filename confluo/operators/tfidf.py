@@ -12,7 +12,6 @@ sorted and each run becomes one ``(term, tf)``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -76,18 +75,10 @@ def _runs(grams: Column) -> Column:
     return let({"a": F.sort_array(grams)}, counted)
 
 
-def term_counts(
-    docs: DataFrame,
-    *,
-    key: str = "id",
-    text: str = "text",
-    pattern: str = D.TOKEN_PATTERN,
-    form: Callable[[Column], Column] | None = None,
-) -> DataFrame:
-    """``(key, term, tf)``, one row per document row and distinct n-gram; ``form`` maps the
-    n-grams before they are counted."""
+def term_counts(docs: DataFrame, *, key: str = "id", text: str = "text", pattern: str = D.TOKEN_PATTERN) -> DataFrame:
+    """``(key, term, tf)``, one row per document row and distinct n-gram."""
     grams = ngrams(tokens(F.col(text), pattern=pattern))
-    return spread(docs.select(F.col(key), F.col(text))).select(F.col(key), F.inline(_runs(F.transform(grams, form) if form else grams)))
+    return spread(docs.select(F.col(key), F.col(text))).select(F.col(key), F.inline(_runs(grams)))
 
 
 def _query_counts(docs: DataFrame, query: str, *, pattern: str) -> DataFrame:
@@ -229,26 +220,27 @@ def cosine_to_query(
 ) -> DataFrame:
     """``(key, cosine)`` for documents with at least one kept term; others have similarity 0
     and are absent."""
-    postings = materialize(
-        term_counts(docs, key=key, text=text, pattern=pattern, form=lambda g: F.xxhash64(g)).withColumnRenamed("term", "h"), "postings"
-    )
+    corpus = _corpus(docs, query, key=key, text=text, max_features=max_features, pattern=pattern)
+    idf, asked = corpus.idf(), corpus.query
+    found = corpus.found
     # the words of the query
-    asked = {r.h: r.tf for r in _query_counts(docs, query, pattern=pattern).select(F.xxhash64("term").alias("h"), "tf").collect()}
-    if max_features is None:
-        df = F.col("df") + F.col("h").isin(list(asked)).cast("int")
-        terms = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).select("h", _idf(docs.count() + 1, df).alias("idf"))
-    else:
-        kept = fit_vocabulary(docs, query, text=text, max_features=max_features, pattern=pattern).terms
-        terms = kept.select(F.xxhash64("term").alias("h"), "idf")
-    terms = materialize(terms, "term-weights")
-    known = {r.h: r.idf for r in terms.filter(F.col("h").isin(list(asked))).collect()}
-    if max_features is None:  # words that only the query has
-        known |= dict.fromkeys(asked.keys() - known.keys(), math.log((2.0 + docs.count()) / 2.0) + 1.0)
-    weights = {h: asked[h] * idf for h, idf in known.items()}
-    length = math.sqrt(sum(w * w for w in weights.values()))
-    wanted = docs.sparkSession.createDataFrame([(h, w / length) for h, w in weights.items()], "h long, wq double")
-    w = F.col("tf") * F.col("idf")
-    per_doc = postings.join(own_exchange(terms.join(wanted, "h", "left")).hint("shuffle_hash"), "h").groupBy(key).agg(
-        F.sqrt(F.sum(w * w)).alias("norm"), F.coalesce(F.sum(w * F.col("wq")), F.lit(0.0)).alias("dot")
-    )
-    return per_doc.select(key, (F.col("dot") / F.col("norm")).alias("cosine"))
+    mine = term_blocks.in_hash_order(found.filter(F.col("block") == term_blocks.QUERY).select("part", "df").collect())
+    wanted = np.zeros(len(asked.h))
+    wanted[asked.number[asked.term]] = asked.tf * idf(mine)[asked.number[asked.term]]
+    wanted /= np.sqrt((wanted * wanted).sum()) or 1.0
+    by_hash = {(int(h), int(g)): w for h, g, w in zip(asked.h, asked.g, wanted, strict=True)}
+
+    def sums(block: pa.RecordBatch, terms: term_blocks.Terms, df: np.ndarray) -> Iterator[dict[str, pa.Array]]:
+        of = np.zeros(len(terms.h))
+        for i in np.flatnonzero(np.isin(terms.h, np.array([h for h, _ in by_hash], np.uint64))):
+            of[i] = by_hash.get((int(terms.h[i]), int(terms.g[i])), 0.0)
+        number = terms.number[terms.term]
+        w = terms.tf * idf(df)[number]
+        keys = block.column("keys").flatten()
+        squares, dot = np.bincount(terms.row, w * w, len(keys)), np.bincount(terms.row, w * of[number], len(keys))
+        there = np.flatnonzero(squares)
+        yield {key: keys.take(pa.array(there)), "squares": pa.array(squares[there]), "dot": pa.array(dot[there])}
+
+    kind = StructType().add(key, docs.schema[key].dataType).add("squares", DoubleType()).add("dot", DoubleType())
+    per_doc = term_blocks.per_block(corpus.held, found, sums, kind).groupBy(key).agg(F.sum("squares").alias("squares"), F.sum("dot").alias("dot"))
+    return per_doc.select(key, (F.col("dot") / F.sqrt("squares")).alias("cosine"))

@@ -80,6 +80,11 @@ def test_only_blocks_are_exchanged(spark):
     assert moved and all("hashpartitioning(block" in line for line in moved)
 
 
+def test_cosine_joins_no_postings(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta word{i % 9} gamma") for i in range(200)], "id bigint, text string")
+    assert "Join" not in tfidf.cosine_to_query(docs, "alpha word3")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_block_sends_each_term_once():
     """A hundred copies of a document ask for as many bytes as two."""
     def bytes_of(n):
